@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin
+from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,16 @@ def p3_weighted_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return eager.joined_rollup(raw, cat, ["file_id"], ["topic"], {"sum_size": F.col("size")}, {"sum_stated": F.col("message_count")})
 
 
+def p4_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Every flagged reading with its reasons."""
+    f = anomalies.flag(readings.usable_readings(table(spark, sf, "decoded_messages")), table(spark, sf, "signal_limits"))
+    return f.where("is_range or is_stuck or is_spike").select("msg_id", "file_id", "topic", "log_time", "reading", "is_range", "is_stuck", "is_spike")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_flags(spark, sf).select("msg_id")
+
+
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return lateness.classify(table(spark, sf, "raw_messages"), ["file_id", "topic"])
 
@@ -90,7 +100,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p2_found, p3_found, p3_topic_totals, p3_weighted_bytes, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p2_found, p3_found, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
