@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from logloom.session import tasks
 
-SEGMENT, HALO = 4096, 64
+SEGMENT, HALO, PARTS = 4096, 64, 256
 _ROWS = "file_id bigint, topic string, msg_id bigint, log_time bigint, reading double, trend double, season double, is_range boolean, is_stuck boolean, is_spike boolean"
 
 
@@ -183,6 +183,14 @@ def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iter
         return np.append(np.flatnonzero(new), len(t))
 
     def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        # Copies of a message stand side by side.
+        msg, time = t.column("msg_id").to_numpy(), t.column("log_time").to_numpy()
+        first = np.ones(len(t), bool)
+        first[1:] = (msg[1:] != msg[:-1]) | (time[1:] != time[:-1])
+        first[at[:-1]] = True
+        if not first.all():
+            at = np.append(np.cumsum(first)[at[:-1]] - 1, first.sum())
+            t = t.filter(pa.array(first)).combine_chunks()
         x = t.column("reading").to_numpy()
         lo = t.column("lo").fill_null(-np.inf).to_numpy()
         hi = t.column("hi").fill_null(np.inf).to_numpy()
@@ -210,22 +218,23 @@ def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iter
     return run
 
 
-def segmented(rows: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
+def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
     """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``: segments of about ``segment`` rows, with ``halo`` foreign rows on each side.
 
-    Cuts are quantiles of the time of sources larger than a segment, computed in mergeable sketches.  Smaller sources,
-    the common case, stay whole without any further exchange than the one by source and segment.
+    Cuts are quantiles of the time of sources larger than two segments, from mergeable sketches over ``every``, which
+    has at least the rows' source and time but need not cost what the rows cost.  Smaller sources stay whole.
     """
-    size = rows.groupBy("file_id", "topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * segment)
-    quantiles = F.expr("percentile_approx(log_time, transform(sequence(1, 255), k -> k / 256D), 2560)")
-    large = rows.join(size, ["file_id", "topic"]).groupBy("file_id", "topic").agg(F.first("n").alias("n"), quantiles.alias("q"))
-    # Every so many of the 256ths that a segment holds its share; sources beyond 256 segments have larger ones.
-    step = F.greatest(F.lit(1), F.floor(F.lit(256 * segment) / F.col("n"))).cast("int")
-    cuts = large.withColumn("step", step).select("file_id", "topic", F.expr("array_distinct(filter(q, (v, i) -> (i + 1) % step = 0))").alias("cuts"))
-    placed = rows.join(cuts, ["file_id", "topic"], "left").withColumn("seg", F.coalesce(F.expr("size(filter(cuts, c -> c < log_time))"), F.lit(0))).withColumn("last", F.coalesce(F.size("cuts"), F.lit(0))).drop("cuts")
+    keys = ["file_id", "topic"]
+    size = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * segment)
+    parts = [k / PARTS for k in range(1, PARTS)]
+    large = every.join(size, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile_approx("log_time", parts, 10 * PARTS).alias("q"))
+    # Of the 256ths as many make a segment as hold its share; sources beyond 256 segments have larger ones.
+    step = F.greatest(F.lit(1), F.floor(F.lit(PARTS * segment) / F.col("n"))).cast("int")
+    cuts = large.withColumn("step", step).select(*keys, F.expr("array_distinct(filter(q, (v, i) -> (i + 1) % step = 0))").alias("cuts"))
+    placed = rows.join(cuts, keys, "left").withColumn("seg", F.coalesce(F.expr("size(filter(cuts, c -> c < log_time))"), F.lit(0))).withColumn("last", F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts"))).drop("cuts")
     whole = placed.where("last = 0").drop("last").withColumn("own", F.lit(True))
     cut = placed.where("last > 0")
-    w = Window.partitionBy("file_id", "topic", "seg")
+    w = Window.partitionBy(*keys, "seg")
     ranked = cut.withColumn("_up", F.row_number().over(w.orderBy("log_time", "msg_id"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("log_time"), F.desc("msg_id"))))
     homes = F.filter(F.array(F.col("seg"), F.when((F.col("_up") <= halo) & (F.col("seg") > 0), F.col("seg") - 1), F.when((F.col("_down") <= halo) & (F.col("seg") < F.col("last")), F.col("seg") + 1)), lambda v: v.isNotNull())
     spread = ranked.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_up", "_down", "last").withColumnRenamed("home", "seg")
@@ -239,8 +248,8 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     """
     n = tasks(readings.sparkSession)
     ok = readings.where(F.col("reading").isNotNull() & ~F.isnan("reading") & F.col("log_time").isNotNull() & F.col("file_id").isNotNull() & F.col("topic").isNotNull() & F.col("msg_id").isNotNull())
-    once = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading")).groupBy("file_id", "topic", "msg_id", "log_time").agg(F.min("reading").alias("reading"))
+    rows = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading"))
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
-    parts = segmented(once).join(bounds, "topic", "left").select("file_id", "topic", "seg", "log_time", "msg_id", "reading", "lo", "hi", "own")
+    parts = segmented(rows, readings.select("file_id", "topic", "log_time")).join(bounds, "topic", "left").select("file_id", "topic", "seg", "log_time", "msg_id", "reading", "lo", "hi", "own")
     parts = parts.repartition(n, "file_id", "topic", "seg").sortWithinPartitions("file_id", "topic", "seg", "log_time", "msg_id")
     return parts.mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)

@@ -20,6 +20,6 @@ def reading(value: Column, names: tuple[str, ...] = NAMES) -> Column:
     return F.when(found != "", found.try_cast("double"))
 
 
-def usable_readings(df: DataFrame) -> DataFrame:
-    """``(file_id, topic, msg_id, log_time, reading)`` of messages with a usable reading and a time, repeated rows included."""
-    return df.select("file_id", "topic", "msg_id", "log_time", reading(F.col("value")).alias("reading")).where(F.col("reading").isNotNull() & F.col("log_time").isNotNull())
+def with_reading(df: DataFrame) -> DataFrame:
+    """``(file_id, topic, msg_id, log_time, reading)`` of every message; ``reading`` is null where it is not usable."""
+    return df.select("file_id", "topic", "msg_id", "log_time", reading(F.col("value")).alias("reading"))

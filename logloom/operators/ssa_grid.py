@@ -134,18 +134,16 @@ def regular_grid(readings: DataFrame, period_ns: int = 10 * SECOND) -> DataFrame
     # Copies of a message lie in the same slot, so one exchange serves both steps.
     once = rows.repartition(n, "file_id", "topic", "slot").groupBy("file_id", "topic", "slot", "msg_id").agg(F.min("reading").alias("reading"))
     filled = once.groupBy("file_id", "topic", "slot").agg(F.avg("reading").alias("value"), F.count("reading").alias("n_readings"))
-    ends = filled.groupBy("file_id", "topic").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     seg = lambda c: F.floor(c / F.lit(SEGMENT)).cast("bigint")
-    # What stands before and after each segment, for segments in which nothing was read: one row per SEGMENT periods.
+    # One row per segment with readings, unfolded to those without up to the next; their anchors are what stands before and after.
     by_seg = filled.groupBy("file_id", "topic", seg(F.col("slot")).alias("seg")).agg(F.min("slot").alias("s0"), F.max("slot").alias("s1"), F.min_by("value", "slot").alias("v0"), F.max_by("value", "slot").alias("v1"))
-    every = ends.select("file_id", "topic", "lo", "hi", F.explode(F.sequence(seg(F.col("lo")), seg(F.col("hi")))).alias("seg"))
-    w = Window.partitionBy("file_id", "topic").orderBy("seg")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    segs = every.join(by_seg, ["file_id", "topic", "seg"], "left").select(
-        "file_id", "topic", "lo", "hi", "seg",
-        F.last("s1", True).over(back).alias("ps"), F.last("v1", True).over(back).alias("pv"),
-        F.first("s0", True).over(ahead).alias("ns"), F.first("v0", True).over(ahead).alias("nv"),
-    )
+    source = Window.partitionBy("file_id", "topic")
+    ahead = source.orderBy("seg")
+    segs = by_seg.select(
+        "file_id", "topic", F.min("s0").over(source).alias("lo"), F.max("s1").over(source).alias("hi"), F.col("seg").alias("from"),
+        F.coalesce(F.lead("seg").over(ahead) - 1, F.col("seg")).alias("to"), F.col("s1").alias("ps"), F.col("v1").alias("pv"),
+        F.lead("s0").over(ahead).alias("ns"), F.lead("v0").over(ahead).alias("nv"),
+    ).withColumn("seg", F.explode(F.sequence("from", "to")))
     frame = segs.select("file_id", "topic", "seg", "ps", "pv", "ns", "nv", F.explode(F.sequence(F.greatest("lo", F.col("seg") * SEGMENT - HALO), F.least("hi", (F.col("seg") + 1) * SEGMENT - 1 + HALO))).alias("slot"))
     grid = frame.join(filled, ["file_id", "topic", "slot"], "left").select("file_id", "topic", "seg", "slot", "value", F.coalesce("n_readings", F.lit(0)).alias("n_readings"), "ps", "pv", "ns", "nv")
     parts = grid.repartition(n, "file_id", "topic", "seg").sortWithinPartitions("file_id", "topic", "seg", "slot")

@@ -63,7 +63,7 @@ def p3_weighted_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Every flagged reading with its reasons."""
-    f = anomalies.flag(readings.usable_readings(table(spark, sf, "decoded_messages")), table(spark, sf, "signal_limits"))
+    f = anomalies.flag(readings.with_reading(table(spark, sf, "decoded_messages")), table(spark, sf, "signal_limits"))
     return f.where("is_range or is_stuck or is_spike").select("msg_id", "file_id", "topic", "log_time", "reading", "is_range", "is_stuck", "is_spike")
 
 
@@ -93,7 +93,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return ssa_grid.regular_grid(readings.usable_readings(table(spark, sf, "decoded_messages")))
+    return ssa_grid.regular_grid(readings.with_reading(table(spark, sf, "decoded_messages")))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
