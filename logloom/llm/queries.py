@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import leakage
+from logloom.llm import language, leakage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,16 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p9_found, p9_leaks)}
+def p10_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every document and every text cell."""
+    return language.label_languages(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.corrections(p10_labels(spark, sf)).select("doc_id", "cell_no", "lang")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p9_found, p9_leaks, p10_found, p10_labels)}
 
 #: The operators on text cannot be expressed in SQL; they are tested against brute force and held-out labels.
 SQL: dict[str, str] = {}
