@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import language, leakage
+from logloom.llm import language, leakage, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Vocabulary that texts are measured with; the file must be readable on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document in a container of each budget."""
+    sizes = packing.token_counts(table(spark, sf, "documents"), VOCABULARY)
+    return packing.pack(sizes, table(spark, sf, "context_budgets"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the containers of each budget are filled."""
+    return packing.fill(p8_containers(spark, sf))
+
+
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Every leak with the length of its longest stretch, its edits and its weighted similarity."""
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
@@ -33,7 +48,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.corrections(p10_labels(spark, sf)).select("doc_id", "cell_no", "lang")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p9_found, p9_leaks, p10_found, p10_labels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_labels)}
 
 #: The operators on text cannot be expressed in SQL; they are tested against brute force and held-out labels.
 SQL: dict[str, str] = {}
