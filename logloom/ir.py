@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 INTS = {"I8": 8, "I16": 16, "I32": 32, "I64": 64, "U8": 8, "U16": 16, "U32": 32, "U64": 64}
 KINDS = {"Null", "Bool", *INTS, "F32", "F64", "String", "WString", "BoundedString", "BoundedWString", "Bytes", "BoundedBytes", "Enum", "Struct", "List", "BoundedList", "Array", "Map"}
 #: Metadata keys.
-FIXED_LEN, BOUND, VARIANTS, KIND = "fixed_len", "bound", "variants", "kind"
+FIXED_LEN, BOUND, VARIANTS, KIND, ITEM_KIND = "fixed_len", "bound", "variants", "kind", "item_kind"
+_WIDENED = ("U8", "U16", "U32", "U64", "WString", "BoundedWString")
 
 
 @dataclass(frozen=True)
@@ -144,8 +145,13 @@ def field_metadata(t: Type) -> dict:
         out[BOUND] = t.size
     if t.kind == "Enum":
         out[VARIANTS] = json.dumps(dict(t.variants))
-    if t.kind in ("U8", "U16", "U32", "U64", "WString", "BoundedWString"):
+    if t.kind in _WIDENED:
         out[KIND] = t.kind
+    inner = t
+    while inner.item is not None:
+        inner = inner.item.type
+    if inner is not t and inner.kind in _WIDENED:
+        out[ITEM_KIND] = inner.kind
     return out
 
 
