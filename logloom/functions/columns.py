@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.exact import floor_div
 from logloom import ir
 from logloom.decode.base import TopicDecoder
 from logloom.ir import Field
@@ -14,7 +15,7 @@ from logloom.ir import Field
 
 def format_timestamp(ns: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss.SSS`` in UTC of nanoseconds; null stays null.  Built in, whatever the session's time zone."""
-    local = F.to_utc_timestamp(F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("bigint")), "UTC")
+    local = F.to_utc_timestamp(F.timestamp_micros(floor_div(ns, 1000)), "UTC")
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss.SSS")
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.exact import floor_div
 from logloom.session import tasks
 
 SECOND = 1_000_000_000
@@ -47,7 +48,7 @@ def classify(df: DataFrame, source: list[str], lateness_ns: int = 60 * SECOND, m
     copies = Window.partitionBy(*source, "msg_id").orderBy("log_time", "publish_time", "n_bytes")
     first = rows.where(keyed).repartition(n, "msg_id").withColumn("_r", F.row_number().over(copies)).where("_r = 1").drop("_r")
     usable = F.col("publish_time").isNotNull() & (F.col("publish_time") != 0) & (F.col("publish_time") <= F.col("log_time") + max_ahead_ns)
-    tagged = first.withColumn("_block", F.when(usable, F.floor(F.col("log_time") / BLOCK_NS)))
+    tagged = first.withColumn("_block", F.when(usable, floor_div(F.col("log_time"), BLOCK_NS)))
     invalid = tagged.where(F.col("_block").isNull()).drop("_block").unionByName(rows.where(~keyed))
 
     # Both the maxima of the blocks and the rows read the same exchange.
@@ -71,7 +72,7 @@ def windows(classified: DataFrame, keys: list[str], window_ns: int = 60 * SECOND
     before corrections, ``n_messages`` and ``n_bytes`` hold on-time and late messages, ``n_beyond`` counts
     those set apart.
     """
-    start = (F.floor(F.col("publish_time") / window_ns) * window_ns).alias("window_start")
+    start = (floor_div(F.col("publish_time"), window_ns) * window_ns).alias("window_start")
     is_ = lambda *s: F.col("status").isin(*s)
     number = lambda cond: F.count(F.when(cond, 1))
     return classified.where(F.col("status") != "invalid").groupBy(*keys, start).agg(

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.exact import floor_div
 from logloom.operators.dewey import explode_fields
 
 #: Versions handled together; a block sees one more version on either side.
@@ -43,7 +44,7 @@ def versions(files: DataFrame, schemas: DataFrame) -> DataFrame:
     f = files.where(F.col("started_at").isNotNull() & F.col("vehicle").isNotNull()).groupBy("file_id").agg(F.min("vehicle").alias("producer"), F.min(F.unix_micros(F.col("started_at").cast("timestamp"))).alias("at"))
     s = schemas.where(F.col("topic").isNotNull()).select("file_id", "topic", "schema_id", "schema_name", "schema_encoding", "field_defs")
     one = s.groupBy("file_id", "topic").agg(F.min(F.struct("schema_id", "schema_name", "schema_encoding", "field_defs")).alias("s"))
-    placed = one.join(f, "file_id").select("producer", "topic", "file_id", "at", F.floor(F.col("at") / SPAN_US).alias("span"), "s.*")
+    placed = one.join(f, "file_id").select("producer", "topic", "file_id", "at", floor_div(F.col("at"), SPAN_US).alias("span"), "s.*")
     group = ["producer", "topic"]
     per_span = placed.groupBy(*group, "span").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +63,7 @@ def lifespans(vers: DataFrame) -> DataFrame:
         return vers.select(*keep, F.lit(node).alias("node"), F.lit("").alias("parent"), F.lit(-1).alias("pos"), F.coalesce(F.concat(F.lit("="), c), F.lit("null")).alias("type"), none.alias("above"))
 
     rows = fields.unionByName(pseudo(NAME, "schema_name")).unionByName(pseudo(ENCODING, "schema_encoding"))
-    block = F.floor(F.col("seq") / BLOCK)
+    block = floor_div(F.col("seq"), BLOCK)
     at = F.col("seq") % BLOCK
     homes = F.filter(F.array(block, F.when(at == BLOCK - 1, block + 1), F.when((at == 0) & (block > 0), block - 1)), lambda x: x.isNotNull())
     spread = rows.withColumn("home", block).withColumn("block", F.explode(homes))

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.exact import floor_div
 from logloom.session import tasks
 
 SECOND = 1_000_000_000
@@ -128,13 +129,13 @@ def regular_grid(readings: DataFrame, period_ns: int = 10 * SECOND) -> DataFrame
     ``readings`` has ``file_id, topic, msg_id, log_time, reading``; ``slot`` is ``floor(log_time / period_ns)``.
     """
     n = tasks(readings.sparkSession)
-    slot = F.floor(F.col("log_time") / F.lit(period_ns)).cast("bigint")
+    slot = floor_div(F.col("log_time"), period_ns)
     ok = readings.where(F.col("reading").isNotNull() & ~F.isnan("reading") & F.col("log_time").isNotNull() & F.col("file_id").isNotNull() & F.col("topic").isNotNull())
     rows = ok.select("file_id", "topic", slot.alias("slot"), "msg_id", F.col("reading").cast("double").alias("reading"))
     # Copies of a message lie in the same slot, so one exchange serves both steps.
     once = rows.repartition(n, "file_id", "topic", "slot").groupBy("file_id", "topic", "slot", "msg_id").agg(F.min("reading").alias("reading"))
     filled = once.groupBy("file_id", "topic", "slot").agg(F.avg("reading").alias("value"), F.count("reading").alias("n_readings"))
-    seg = lambda c: F.floor(c / F.lit(SEGMENT)).cast("bigint")
+    seg = lambda c: floor_div(c, SEGMENT)
     # One row per segment with readings, unfolded to those without up to the next; their anchors are what stands before and after.
     by_seg = filled.groupBy("file_id", "topic", seg(F.col("slot")).alias("seg")).agg(F.min("slot").alias("s0"), F.max("slot").alias("s1"), F.min_by("value", "slot").alias("v0"), F.max_by("value", "slot").alias("v1"))
     source = Window.partitionBy("file_id", "topic")

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.exact import floor_div
+
 MILLI = 1_000_000
 
 
@@ -37,7 +39,7 @@ def nearest(left: DataFrame, right: DataFrame, entity: dict[str, tuple[Column, C
     for k in keys:
         known = known & F.col(k).isNotNull()
     one = ri.where(known).groupBy(*keys, "_rt").agg(F.min("_rid").alias("_rid"))
-    tick = lambda c: F.floor(c / F.lit(tick_ns)).cast("bigint")
+    tick = lambda c: floor_div(c, tick_ns)
     ticks = F.sequence(tick(F.col("_rt") - tolerance_ns), tick(F.col("_rt") + tolerance_ns))
     spread = one.select(*keys, "_rt", "_rid", F.explode(ticks).alias("_tick"))
     rec = F.struct(F.col("_rt").alias("t"), F.col("_rid").alias("id"))

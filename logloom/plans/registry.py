@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import problems
+from logloom.plans import fullpath, problems, reshape
 from logloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "scan_project_flatten"
 
 
 def _prepare(q: Query) -> Query:
@@ -29,8 +29,8 @@ def prepared(qs: dict[str, Query]) -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    return prepared(problems.QUERIES)
+    return prepared(reshape.QUERIES | fullpath.QUERIES | problems.QUERIES)
 
 
 def sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return reshape.SQL | fullpath.SQL | problems.SQL

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.functions.exact import floor_div
 from logloom.errors import SinkError
 from logloom.ir import ITEM_KIND, KIND
 from logloom.session import ship
@@ -146,7 +147,7 @@ def with_rfc3339(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nanosecond columns as RFC 3339 text with nanoseconds, which a JSON timestamp needs and Spark's timestamp has not."""
     for c in columns:
         ns = F.col(f"`{c}`")
-        micros = F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("bigint"))
+        micros = F.timestamp_micros(floor_div(ns, 1000))
         whole = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), micros.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss")
         df = df.withColumn(c, F.concat(whole, F.lit("."), F.lpad(F.pmod(ns, F.lit(10**9)).cast("string"), 9, "0"), F.lit("Z")))
     return df

@@ -111,7 +111,7 @@ def idl_text(fields: tuple[Field, ...], package: str, name: str) -> str:
     return f"===\nIDL: {package}/msg/{name}\nmodule {package} {{ module msg {{\n" + "\n".join([*structs, main]) + "\n}; };\n"
 
 
-_PROTO = {"Bool": 8, "I32": 5, "I64": 3, "U32": 13, "U64": 4, "F32": 2, "F64": 1, "String": 9, "Bytes": 12}
+_PROTO = {"Bool": 8, "I32": 5, "I64": 3, "U32": 13, "U64": 4, "F32": 2, "F64": 1, "String": 9, "BoundedString": 9, "Bytes": 12}
 
 
 def proto_file(fields: tuple[Field, ...], package: str, name: str) -> descriptor_pb2.FileDescriptorSet:
