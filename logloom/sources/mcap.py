@@ -37,17 +37,17 @@ from logloom.session import ship
 from logloom.sources import container as c
 from logloom.sources.reader import LogReader
 
-_EXTRA: list[MessageDecoder] = []
 TOPICS = "path string, topic string, message_count bigint, schema_name string, schema_encoding string, message_encoding string, channel_count int, decodable boolean, decode_error string, note string"
 
 
 def register(spark: SparkSession, decoders: list[MessageDecoder] | None = None) -> None:
-    """Make ``mcap`` readable in the session; ``decoders`` are added to the built-in ones for this process."""
+    """Make ``mcap`` readable in the session; ``decoders`` are used beside the built-in ones until the next call.
+
+    Spark makes sources in processes of their own, so the decoders travel as part of the registered class.
+    """
     ship(spark)
-    for d in decoders or []:
-        _EXTRA[:] = [x for x in _EXTRA if x.key != d.key] + [d]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(McapSource)
+    spark.dataSource.register(type("RegisteredSource", (McapSource,), {"decoders": tuple(decoders or ())}))
 
 
 def paths_of(path: str) -> list[str]:
@@ -76,9 +76,10 @@ def _true(text: str | None, default: bool) -> bool:
 
 
 class McapSource(DataSource):
+    decoders: tuple[MessageDecoder, ...] = ()
+
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options)
-        self.decoders = list(_EXTRA)
         o = self.options
         self.mode = o.get("mode", "decoded").lower()
         if self.mode not in ("decoded", "raw", "topics", "auto"):
@@ -192,8 +193,9 @@ class TopicReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
+        nothing = [InputPartition([])]  # an empty list would mean one partition of None
         if self.limit == 0:
-            return []
+            return nothing
         serial = self.offset > 0 or self.limit is not None or not self.parallel
         found: list[tuple[str, list[tuple[int, c.ChunkIndex]]]] = []
         for p in self.paths:
@@ -213,7 +215,7 @@ class TopicReader(DataSourceReader):
         if serial:
             return [InputPartition([Part(p, [(k, x.offset, x.length) for k, x in chunks], self.start, self.end) for p, chunks in found])]
         if self.is_raw:
-            return [InputPartition([Part(p, [], self.start, self.end)]) for p, _ in found]
+            return [InputPartition([Part(p, [], self.start, self.end)]) for p, _ in found] or nothing
         total = sum(x.compressed_size for _, chunks in found for _, x in chunks)
         # Tasks of even size, from 4 to 128 MiB of compressed chunks unless a number is asked for.
         share = max(total // self.wanted, 1) if self.wanted else min(max(total // 64, 4 << 20), 128 << 20)
@@ -229,7 +231,7 @@ class TopicReader(DataSourceReader):
                     held, size = [], 0
             if held:
                 out.append(InputPartition([Part(p, held, self.start, self.end)]))
-        return out
+        return out or nothing
 
     def _messages(self, parts: list[Part]) -> Iterator[tuple[int, int, memoryview, int, int]]:
         for part in parts:
