@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin
+from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return lifespan.changes(table(spark, sf, "mcap_files"), table(spark, sf, "topic_schemas")).select("file_id", "topic", "field_path", "change")
 
 
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change with the names and types before and after."""
+    return lifespan.changes(table(spark, sf, "mcap_files"), table(spark, sf, "topic_schemas"))
+
+
+def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """All sensor messages of all files in one table: the columns under their last names, cast to common types."""
+    cols = unify.columns(table(spark, sf, "mcap_files"), table(spark, sf, "topic_schemas"))
+    return unify.unified(table(spark, sf, "decoded_messages"), cols)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return eager.count_audit(table(spark, sf, "topics"), table(spark, sf, "raw_messages")).where("differs").select("file_id", "topic").distinct()
 
@@ -100,7 +111,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p2_found, p3_found, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p2_found, p2_report, p2_unified, p3_found, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
