@@ -28,6 +28,12 @@ def p1_object_table(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.col("_key").alias("msg_id"), F.col("_pos").alias("pos"), "id", "label", "score", F.col("pose__position__x").alias("x"), F.col("pose__position__y").alias("y"), F.col("pose__position__z").alias("z"), F.col("pose__yaw").alias("yaw"))
 
 
+def p1_field_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field definition as a flat row with its parent, type and position."""
+    defs = table(spark, sf, "topic_schemas").select("schema_id", "field_defs").distinct()
+    return dewey.explode_fields(defs, "field_defs", ["schema_id"]).select("schema_id", "node", "parent", "name", "pos", "type", "nullable")
+
+
 def p1_part_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of unhealthy parts with the label of the object they belong to: three levels joined by their links."""
     t = dewey.shred(table(spark, sf, "scene_messages"), "msg_id", "value")
@@ -56,6 +62,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return eager.count_audit(table(spark, sf, "topics"), table(spark, sf, "raw_messages")).where("differs").select("file_id", "topic").distinct()
 
 
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The true number of messages per file and topic beside the catalogue's."""
+    return eager.count_audit(table(spark, sf, "topics"), table(spark, sf, "raw_messages"))
+
+
 def p3_topic_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Per site and topic: messages and bytes stored, by joining raw messages to their files with both sides pre-aggregated."""
     files = table(spark, sf, "mcap_files").select("file_id", F.coalesce(F.lower(F.trim("site")), F.lit("unknown")).alias("site")).distinct()
@@ -111,7 +122,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p2_found, p2_report, p2_unified, p3_found, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
@@ -181,6 +192,10 @@ SELECT msg_id, i AS object_pos, label, part_name, code_pos, code FROM c WHERE co
 SELECT DISTINCT t.file_id, t.topic FROM topics t
 LEFT JOIN (SELECT file_id, topic, count(DISTINCT msg_id) AS n FROM raw_messages GROUP BY 1, 2) r ON t.file_id = r.file_id AND t.topic = r.topic
 WHERE NOT t.decodable AND t.message_count IS NOT NULL AND t.message_count <> coalesce(r.n, 0)""",
+    "p3_counts": """
+SELECT DISTINCT t.file_id, t.topic, t.message_count AS stated, coalesce(r.n, 0) AS actual, t.message_count <> coalesce(r.n, 0) AS differs FROM topics t
+LEFT JOIN (SELECT file_id, topic, count(DISTINCT msg_id) AS n FROM raw_messages GROUP BY 1, 2) r ON t.file_id = r.file_id AND t.topic = r.topic
+WHERE NOT t.decodable""",
     "p3_topic_totals": """
 SELECT f.site, r.topic, count(*) AS n_rows, sum(coalesce(octet_length(r.data), 0))::BIGINT AS n_bytes
 FROM raw_messages r JOIN (SELECT DISTINCT file_id, coalesce(lower(trim(site)), 'unknown') AS site FROM mcap_files) f ON r.file_id = f.file_id
