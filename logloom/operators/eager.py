@@ -56,9 +56,9 @@ def joined_rollup(left: DataFrame, right: DataFrame, on: list[str], group: list[
 def count_audit(catalog: DataFrame, messages: DataFrame) -> DataFrame:
     """The true number of messages per (file, topic) of the undecodable topics beside the catalogue's count.
 
-    ``(file_id, topic, stated, actual, differs)``; ``differs`` is null where the catalogue states nothing.
+    ``(file_id, topic, stated, actual, gap)``; ``gap``, actual less stated, is null where the catalogue states nothing.
     """
     stated = catalog.where(~F.col("decodable")).select("file_id", "topic", F.col("message_count").alias("stated")).distinct()
     actual = distinct_per_key(messages, ["file_id", "topic"], "msg_id", "actual")
     j = stated.join(actual, ["file_id", "topic"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
-    return j.select("file_id", "topic", "stated", "actual", (F.col("stated") != F.col("actual")).alias("differs"))
+    return j.select("file_id", "topic", "stated", "actual", (F.col("actual") - F.col("stated")).alias("gap"))

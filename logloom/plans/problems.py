@@ -59,7 +59,7 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return eager.count_audit(table(spark, sf, "topics"), table(spark, sf, "raw_messages")).where("differs").select("file_id", "topic").distinct()
+    return eager.count_audit(table(spark, sf, "topics"), table(spark, sf, "raw_messages")).where("gap <> 0").select("file_id", "topic").distinct()
 
 
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +193,7 @@ SELECT DISTINCT t.file_id, t.topic FROM topics t
 LEFT JOIN (SELECT file_id, topic, count(DISTINCT msg_id) AS n FROM raw_messages GROUP BY 1, 2) r ON t.file_id = r.file_id AND t.topic = r.topic
 WHERE NOT t.decodable AND t.message_count IS NOT NULL AND t.message_count <> coalesce(r.n, 0)""",
     "p3_counts": """
-SELECT DISTINCT t.file_id, t.topic, t.message_count AS stated, coalesce(r.n, 0) AS actual, t.message_count <> coalesce(r.n, 0) AS differs FROM topics t
+SELECT DISTINCT t.file_id, t.topic, t.message_count AS stated, coalesce(r.n, 0) AS actual, coalesce(r.n, 0) - t.message_count AS gap FROM topics t
 LEFT JOIN (SELECT file_id, topic, count(DISTINCT msg_id) AS n FROM raw_messages GROUP BY 1, 2) r ON t.file_id = r.file_id AND t.topic = r.topic
 WHERE NOT t.decodable""",
     "p3_topic_totals": """
