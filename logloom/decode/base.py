@@ -5,6 +5,8 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+
 from logloom.errors import DecoderError, MessageDecode, NoDecoder, SchemaDerivation, SchemaParse
 from logloom.ir import Field
 
@@ -18,6 +20,10 @@ class TopicDecoder(ABC):
     def decode(self, data: bytes | memoryview) -> dict:
         """Value of one message: dicts for structs, lists, lists of pairs for maps, None for null."""
 
+    def columns(self, payloads: list[bytes | memoryview], fields: tuple[Field, ...]) -> list[pa.Array] | None:
+        """The messages as one array per field, where that is quicker than one by one; None where it is not possible."""
+        return None
+
 
 class MessageDecoder(ABC):
     """Knows one pair of encodings.  Instances travel to the workers, so they must pickle."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 from logloom import ir
+from logloom.decode.base import TopicDecoder
 from logloom.errors import ConvertError, EmptyRows, MetadataColumnCollision, ValueTypeError
 from logloom.ir import Field
 
@@ -73,6 +74,27 @@ def record_batch(rows: list[tuple[int, int, dict | None]], fields: tuple[Field,
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
+def payload_batches(rows: Iterable[tuple[int, int, bytes | memoryview]], decoder: TopicDecoder, fields: tuple[Field, ...], meta: Metadata, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Batches of still encoded rows, column-wise where the decoder can."""
+    schema = meta.arrow(fields)
+
+    def batch(held: list) -> pa.RecordBatch:
+        cols = decoder.columns([r[2] for r in held], fields)
+        if cols is None:
+            return record_batch([(log, pub, decoder.decode(data)) for log, pub, data in held], fields, meta, schema)
+        arrays = [meta.times([r[0] for r in held]), meta.times([r[1] for r in held]), *[c if c.type == schema.field(k + 2).type else c.cast(schema.field(k + 2).type) for k, c in enumerate(cols)]]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    held: list = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield batch(held)
+            held = []
+    if held:
+        yield batch(held)
+
+
 def batched(rows: Iterable[tuple[int, int, dict | None]], fields: tuple[Field, ...], meta: Metadata, size: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Batches of ``size`` rows (0 counts as 1); the rest is flushed, an empty batch never comes."""
     size = max(size, 1)

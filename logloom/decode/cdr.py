@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from logloom.decode.base import TopicDecoder
 from logloom.errors import MessageDecode
@@ -223,6 +224,45 @@ def _layout(fields: tuple[Field, ...]) -> tuple[str, list] | None:
     return None if shape is None else ("<" + "".join(fmt), shape)
 
 
+#: Numpy type of each column as it is emitted.
+_EMITTED = {"U8": np.int16, "U16": np.int32, "U32": np.int64}
+
+
+def _dtype(fields: tuple[Field, ...]) -> np.dtype | None:
+    """Record type of a whole message with its header, for the schemas that ``_layout`` covers."""
+    names, formats, offsets, at = [], [], [], 0
+
+    def walk(fs: tuple[Field, ...], path: str) -> None:
+        nonlocal at
+        for f in fs:
+            t, name = f.element.type, f"{path}/{f.name}"
+            if t.kind == "Struct":
+                walk(t.fields, name)
+            else:
+                n = struct.calcsize("<" + CODES[t.kind])
+                at += -at % n
+                names.append(name)
+                formats.append(np.dtype(CODES[t.kind]).newbyteorder("<"))
+                offsets.append(at + 4)
+                at += n
+
+    walk(fields, "")
+    return np.dtype({"names": [*names, "header"], "formats": [*formats, "u1"], "offsets": [*offsets, 1], "itemsize": at + 4})
+
+
+def _column(records: np.ndarray, f: Field, path: str) -> pa.Array:
+    t, name = f.element.type, f"{path}/{f.name}"
+    if t.kind == "Struct":
+        parts = [_column(records, x, name) for x in t.fields]
+        return pa.StructArray.from_arrays(parts, fields=[pa.field(x.name, p.type, x.element.nullable) for x, p in zip(t.fields, parts, strict=True)])
+    v = np.ascontiguousarray(records[name])
+    if t.kind == "U64":
+        wide = np.zeros((len(v), 2), np.uint64)
+        wide[:, 0] = v
+        return pa.Array.from_buffers(pa.decimal128(20, 0), len(v), [None, pa.py_buffer(wide)])
+    return pa.array(v.astype(_EMITTED.get(t.kind, v.dtype)))
+
+
 class CdrDecoder(TopicDecoder):
     def __init__(self, fields: tuple[Field, ...], name: str) -> None:
         self.fields = fields
@@ -237,7 +277,18 @@ class CdrDecoder(TopicDecoder):
     def _compile(self) -> None:
         self._read = _struct(self.fields, self.path)
         if layout := _layout(self.fields):
-            self._flat, self._shape = struct.Struct(layout[0]), layout[1]
+            self._flat, self._shape, self._records = struct.Struct(layout[0]), layout[1], _dtype(self.fields)
+
+    def columns(self, payloads: list[bytes | memoryview], fields: tuple[Field, ...]) -> list[pa.Array] | None:
+        """Messages of numbers only have one layout, so a batch of them is read as an array of records."""
+        if self._read is None:
+            self._compile()
+        if self._flat is None or any(len(p) != self._records.itemsize for p in payloads):
+            return None
+        records = np.frombuffer(b"".join(payloads), self._records)
+        if (records["header"] != 1).any():
+            return None
+        return [_column(records, f, "") for f in fields]
 
     def decode(self, data: bytes | memoryview) -> dict:
         if self._read is None:

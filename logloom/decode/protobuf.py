@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from google.protobuf.descriptor import Descriptor, FieldDescriptor
 from google.protobuf.message import DecodeError
 
@@ -16,41 +18,56 @@ class ProtobufTopic(TopicDecoder):
     def __init__(self, name: str, fds: bytes, nulls: bool = True) -> None:
         self.name, self.fds, self.nulls = name, fds, nulls
         self.fields = pb.fields(pb.descriptor(name, fds), nulls)
-        self._class = None
+        self._class = self._read = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_class": None}
+        return self.__dict__ | {"_class": None, "_read": None}
 
     def decode(self, data: bytes | memoryview) -> dict:
         if self._class is None:
             self._class = pb.message_class(pb.descriptor(self.name, self.fds))
+            self._read = self._struct(self._class.DESCRIPTOR)
         msg = self._class()
         try:
             msg.ParseFromString(bytes(data))
         except DecodeError as e:
             raise MessageDecode(e) from e
-        return self._struct(msg, msg.DESCRIPTOR)
+        return self._read(msg)
 
-    def _one(self, f: FieldDescriptor, v: object) -> object:
+    def _one(self, f: FieldDescriptor) -> Callable | None:
+        """Reader of a single value of the field; None where the value is taken as it is."""
         if f.type == FieldDescriptor.TYPE_ENUM:
-            known = f.enum_type.values_by_number.get(v)
-            return known.name if known else str(v)
-        return self._struct(v, f.message_type) if f.message_type is not None else v
+            names = {n: v.name for n, v in f.enum_type.values_by_number.items()}
+            return lambda v: names.get(v) or str(v)
+        return self._struct(f.message_type) if f.message_type is not None else None
 
-    def _struct(self, msg: object, d: Descriptor) -> dict:
-        out: dict = {}
+    def _struct(self, d: Descriptor) -> Callable:
+        """Reader of a message, made once: what is asked of descriptors costs more than the reading."""
+        parts = []
         for f in d.fields:
-            v = getattr(msg, f.name)
             if pb.is_map(f):
-                value = f.message_type.fields_by_name["value"]
-                out[f.name] = [(k, self._one(value, v[k])) for k in v]
+                parts.append((f.name, "map", self._one(f.message_type.fields_by_name["value"])))
             elif pb.is_repeated(f):
-                out[f.name] = [self._one(f, x) for x in v]
-            elif self.nulls and f.has_presence and not msg.HasField(f.name):
-                out[f.name] = None
+                parts.append((f.name, "list", self._one(f)))
             else:
-                out[f.name] = self._one(f, v)
-        return out
+                parts.append((f.name, "maybe" if self.nulls and f.has_presence else "one", self._one(f)))
+
+        def read(msg: object) -> dict:
+            out: dict = {}
+            for name, how, one in parts:
+                if how == "maybe" and not msg.HasField(name):
+                    out[name] = None
+                    continue
+                v = getattr(msg, name)
+                if how == "map":
+                    out[name] = [(k, v[k] if one is None else one(v[k])) for k in v]
+                elif how == "list":
+                    out[name] = list(v) if one is None else [one(x) for x in v]
+                else:
+                    out[name] = v if one is None else one(v)
+            return out
+
+        return read
 
 
 def decode_value(name: str, fds: bytes, data: bytes, nulls: bool = True) -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from logloom.functions.exact import floor_div
 from logloom import ir
-from logloom.decode.base import TopicDecoder
+from logloom.decode.base import ProtobufDecoder, Ros2IdlDecoder, Ros2MsgDecoder, TopicDecoder
 from logloom.ir import Field
 
 
@@ -42,6 +42,17 @@ def decode_payload(data: Column, decoder: TopicDecoder) -> Column:
     return run(data)
 
 
+def decode_protobuf(data: Column, name: str, fds: bytes, nulls: bool = True) -> Column:
+    """Struct of protobuf message ``name`` of a serialized descriptor set."""
+    return decode_payload(data, ProtobufDecoder(nulls).topic(name, fds))
+
+
+def decode_cdr(data: Column, schema_name: str, schema: str, grammar: str = "ros2msg") -> Column:
+    """Struct of a ROS 2 message, its schema given as ``.msg`` or IDL text."""
+    decoder = {"ros2msg": Ros2MsgDecoder, "ros2idl": Ros2IdlDecoder}[grammar]()
+    return decode_payload(data, decoder.topic(schema_name, schema.encode()))
+
+
 def _plain(v: object, e: ir.Element) -> object:
     """Values as the Arrow conversion of pandas takes them."""
     if v is None:

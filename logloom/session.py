@@ -53,3 +53,12 @@ def tasks(spark: SparkSession) -> int:
     put a small but computation-heavy input into a few tasks.
     """
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than those; else as it is, without an exchange.
+
+    For computation-heavy passes over inputs of few files or row groups.  Large inputs have more partitions than there are cores.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

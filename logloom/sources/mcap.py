@@ -13,7 +13,7 @@ Options:
 * ``metadataPrefix``, ``timeFormat`` (``unix_ns`` or ``timestamp``), ``position`` (adds ``_chunk`` and ``_pos``);
 * ``numPartitions``, ``parallel`` (``false``: one task); ``presence`` (``default`` gives unset protobuf fields their default).
 
-``path`` is a file, a folder or a glob; all files must give the topic the same schema (for drifting ones
+``readStream`` takes files of a folder as they arrive.  ``path`` is a file, a folder or a glob; all files must give the topic the same schema (for drifting ones
 see ``scan``).  Chunks that do not index the channel or do not overlap the time range are never read;
 comparisons of ``log_time`` with literals are pushed into that test.
 """
@@ -28,10 +28,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from logloom.decode.base import MessageDecoder, ProtobufDecoder, Registry
-from logloom.decode.batches import BATCH, Metadata, batched
+from logloom.decode.batches import BATCH, Metadata, payload_batches
 from logloom.errors import DecoderError, EmptyDerivedSchema, NoDecoder, SchemaNotAvailable, TopicNotFound
 from logloom.session import ship
 from logloom.sources import container as c
@@ -155,6 +155,36 @@ class McapSource(DataSource):
             return CatalogReader(self)
         return TopicReader(self)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        if self.mode == "topics":
+            raise ValueError("the catalogue cannot be streamed")
+        return ArrivalReader(self)
+
+
+class ArrivalReader(DataSourceStreamReader):
+    """Files of a folder as they arrive.  An offset counts the files in order of arrival (time of change, then name);
+    files must be put in place whole, as a log without summary cannot be read.
+    """
+
+    def __init__(self, source: McapSource) -> None:
+        self.path, self.inner = source.options["path"], TopicReader(source)
+
+    def _arrived(self) -> list[str]:
+        return sorted(paths_of(self.path), key=lambda p: (os.stat(p).st_mtime_ns, p))
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._arrived())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.inner.paths = self._arrived()[start["files"] : end["files"]]
+        return self.inner.partitions() if self.inner.paths else [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return self.inner.read(partition)
+
 
 class CatalogReader(DataSourceReader):
     def __init__(self, source: McapSource) -> None:
@@ -257,13 +287,13 @@ class TopicReader(DataSourceReader):
                     skip -= 1
                     continue
                 places.append((chunk, pos))
-                yield log, pub, (bytes(data) if self.is_raw else self.decoder.decode(data))
+                yield log, pub, (bytes(data) if self.is_raw else data)
                 if left is not None:
                     left -= 1
                     if left == 0:
                         return
 
-        batches = _raw_batches(wanted(), self.meta) if self.is_raw else batched(wanted(), self.fields, self.meta)
+        batches = _raw_batches(wanted(), self.meta) if self.is_raw else payload_batches(wanted(), self.decoder, self.fields, self.meta)
         for b in batches:
             if self.position:
                 here, places[:] = places[: b.num_rows], places[b.num_rows :]

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom import ir
-from logloom.decode.base import MessageDecoder, Registry
-from logloom.decode.batches import BATCH, Metadata, record_batch
+from logloom.decode.base import MessageDecoder, Registry, TopicDecoder
+from logloom.decode.batches import Metadata, payload_batches
 from logloom.errors import LogError
 from logloom.ir import Field
 from logloom.session import ship
@@ -79,23 +79,23 @@ def scan_topic(files: DataFrame, topic: str, fields: tuple[Field, ...], start: i
                 if key not in made:
                     made[key] = registry.find(key[1], key[2]).topic(key[0], key[3])
                 decoder = made[key]
-                held = []
-                for _, _, log, pub, data in c.messages(c.read_chunk(c.open_file(r["path"]), r["offset"], r["length"]), r["channel"], start, end):
-                    held.append((log, pub, decoder.decode(data)))
-                    if len(held) == BATCH:
-                        yield _with_path(r["path"], held, fields, meta)
-                        held = []
-                if held:
-                    yield _with_path(r["path"], held, fields, meta)
+                rows = ((log, pub, data) for _, _, log, pub, data in c.messages(c.read_chunk(c.open_file(r["path"]), r["offset"], r["length"]), r["channel"], start, end))
+                # Only a file of the very schema can be read column-wise.
+                one = decoder if decoder.fields == fields else _OneByOne(decoder)
+                for x in payload_batches(rows, one, fields, meta):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * x.num_rows, pa.string()), *x.columns], ["path", *x.schema.names])
 
     got = plan.mapInArrow(run, out)
     # Field metadata (fixed lengths, bounds) does not pass through a schema text; it is attached again.
     return got.select("path", *[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in body.fields])
 
 
-def _with_path(path: str, rows: list, fields: tuple[Field, ...], meta: Metadata) -> pa.RecordBatch:
-    b = record_batch(rows, fields, meta)
-    return pa.RecordBatch.from_arrays([pa.array([path] * b.num_rows, pa.string()), *b.columns], ["path", *b.schema.names])
+class _OneByOne(TopicDecoder):
+    def __init__(self, inner: TopicDecoder) -> None:
+        self.inner, self.fields = inner, inner.fields
+
+    def decode(self, data: bytes | memoryview) -> dict:
+        return self.inner.decode(data)
 
 
 __all__ = ["MessageDecoder", "chunks", "scan_topic"]

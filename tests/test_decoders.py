@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 
 from logloom.decode.base import JsonDecoder, ProtobufDecoder, Registry, Ros2IdlDecoder, Ros2MsgDecoder
-from logloom.decode.batches import Metadata, batched, record_batch
+from logloom.decode.batches import Metadata, batched, payload_batches, record_batch
 from logloom.decode.cdr import CdrDecoder
 from logloom.decode.protobuf import decode_value
 from logloom.errors import ConvertError, EmptyRows, MessageDecode, MetadataColumnCollision, NoDecoder, SchemaDerivation, SchemaParse, ValueTypeError
@@ -179,3 +179,34 @@ def test_batches():
         record_batch([(2**63, 1, None)], fields, Metadata())
     with pytest.raises(MetadataColumnCollision, match=r"\[log_time, publish_time\] collide"):
         Metadata().spark((field("publish_time", "I8"), field("log_time", "I8")))
+
+
+FIXED = hs.recursive(
+    hs.sampled_from(["I8", "U8", "I16", "U16", "I32", "U32", "I64", "U64", "F32", "F64"]).map(Type),
+    lambda inner: hs.lists(inner, min_size=1, max_size=4).map(lambda ts: struct(*[field(f"f{i}", t) for i, t in enumerate(ts)])),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=100, deadline=None)
+@given(hs.lists(FIXED, min_size=1, max_size=4), hs.integers(0, 2**31))
+def test_column_wise_equals_one_by_one(types, seed):
+    import random
+
+    rng = random.Random(seed)
+    fields = tuple(field(f"x{i}", t) for i, t in enumerate(types))
+
+    def value(t):
+        if t.kind == "Struct":
+            return {f.name: value(f.element.type) for f in t.fields}
+        if t.kind[0] == "F":
+            return float(rng.randrange(1000))
+        bits = int(t.kind[1:])
+        return rng.randrange(2**bits) if t.kind[0] == "U" else rng.randrange(-(2 ** (bits - 1)), 2 ** (bits - 1))
+
+    data = [(i, i, models.cdr(fields, {f.name: value(f.element.type) for f in fields})) for i in range(5)]
+    d = CdrDecoder(fields, "p/M")
+    assert d.columns([p for _, _, p in data], fields) is not None
+    (got,) = payload_batches(data, d, fields, Metadata())
+    assert got.equals(record_batch([(a, b, d.decode(p)) for a, b, p in data], fields, Metadata()))
+    assert d.columns([data[0][2], data[0][2] + b"x"], fields) is None

@@ -205,3 +205,13 @@ def test_decode_payload_column(spark):
     d = spark.createDataFrame([(bytearray(models.cdr(fields, {"a": 2**64 - 1, "s": {"t": "x"}, "v": [1, -2]})),), (None,)], "b binary")
     got = d.select(fn.decode_payload(F.col("b"), CdrDecoder(fields, "p/M")).alias("m")).select("m.*").collect()
     assert int(got[0].a) == 2**64 - 1 and got[0].s.t == "x" and got[0].v == [1, -2] and got[1].a is None
+
+
+def test_decode_columns_by_schema(spark):
+    d = spark.createDataFrame([(bytearray(models.cdr((ir.field("x", "I32"), ir.field("s", "String")), {"x": 5, "s": "é"})),)], "b binary")
+    assert rows(d.select(fn.decode_cdr(F.col("b"), "p/M", "int32 x\nstring s").alias("m")).select("m.*")) == [(5, "é")]
+    fields = (ir.field("n", "I64", True), ir.field("l", "List", item=ir.Element(ir.Type("String"))))
+    fds = models.proto_file(fields, "p", "M")
+    cls = models.proto_class(fds, "p.M")
+    d = spark.createDataFrame([(bytearray(cls(l=["a", "b"]).SerializeToString()),)], "b binary")
+    assert rows(d.select(fn.decode_protobuf(F.col("b"), "p.M", fds.SerializeToString()).alias("m")).select("m.*")) == [(None, ["a", "b"])]

@@ -222,3 +222,19 @@ def test_bench_files_one_task_equals_many(spark, tmp_path, encoding):
     one, many = r.option("parallel", "false").load(p), r.option("parallel", "true").option("numPartitions", "5").load(p)
     assert one.count() == n > 0 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
     assert os.path.getsize(p) > 0 and Metadata().names == ("log_time", "publish_time")
+
+
+def test_stream_of_arriving_files(spark, load, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    write(folder / "b.mcap", 3)
+
+    def drain():
+        df = spark.readStream.format("mcap").option("topic", "/decoded").load(str(folder))
+        df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    assert drain() == 3
+    os.utime(folder / "b.mcap", (1, 1))
+    write(folder / "a.mcap", 5)
+    assert drain() == 8 == drain()
