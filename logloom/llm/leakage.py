@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.session import spread
+
 #: Bytes of text handled at once, and overlap of the pieces of a longer text.
 PIECE, OVERLAP, CHUNK = 8 << 20, 256 << 10, 1 << 20
 #: Item windows in one broadcast index (about 30 bytes each).
@@ -367,7 +369,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     ``items`` is a stated query set; it is read in blocks of at most ``MAX_WINDOWS`` windows, each block against all documents.
     """
     known = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).distinct()
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    src = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.col("text") != "")))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_id bigint, words int, edits int, similarity double"
     found: DataFrame | None = None
 

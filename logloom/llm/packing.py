@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.session import checkpointed, tasks
+from logloom.session import checkpointed, spread, tasks
 
 #: Items packed together, share of a container from which it is emitted before the last round, and rounds at most.
 GROUP, NEARLY, ROUNDS = 20_000, 0.995, 6
@@ -54,7 +54,7 @@ def encoder(vocabulary: str):
 
 def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, tokens)`` of every document with a text."""
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    src = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
