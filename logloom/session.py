@@ -10,27 +10,36 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "logloom.shipped"
+_SHIPPED: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the cluster names for all its machines, if it names one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the session's Python workers, once per session.
+    """Make this package importable in the session's Python workers, once per application.
 
     Workers need not share the driver's ``sys.path``; the package travels as a
     zip through Spark's own file distribution.
     """
     sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
-            z.write(p, Path("logloom") / p.relative_to(root))
-    path = Path(tempfile.mkdtemp(prefix="logloom")) / "logloom.zip"
+            z.writestr(zipfile.ZipInfo(str(Path("logloom") / p.relative_to(root))), p.read_bytes())
+    shared = (shared_folder(spark) or "").removeprefix("file://")
+    base = Path(shared) if shared and "://" not in shared else Path(tempfile.gettempdir())
+    folder = base / f"logloom-{sc.applicationId}"
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / "logloom.zip"
     path.write_bytes(buf.getvalue())
     sc.addPyFile(str(path))
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,8 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "logloom-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or os.path.join(tempfile.gettempdir(), "logloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
