@@ -181,7 +181,7 @@ def shred(df: DataFrame, key: str, value: str, distinct: bool = True) -> dict[st
     Each table has ``_key, _node, _parent, _pos`` (``_entry_key`` for maps) and
     the scalar leaves of its level.  ``_parent`` is ``_node`` truncated and
     equals ``_node`` in the parent's table, so levels join on ``(_key, _parent)``.
-    A table reads only its own branch of ``value``: Catalyst prunes the rest at the scan.
+    A table reads only its own top-level branch of ``value``: Catalyst prunes the others at the scan.
     """
     dtype = df.schema[value].dataType
     root = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{value}`").alias("_v"))

@@ -44,9 +44,11 @@ def register(spark: SparkSession, decoders: list[MessageDecoder] | None = None)
     """Make ``mcap`` readable in the session; ``decoders`` are used beside the built-in ones until the next call.
 
     Spark makes sources in processes of their own, so the decoders travel as part of the registered class.
+    Field names of messages are case-sensitive, and so the session becomes; filters are pushed into the source.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.caseSensitive", "true")
     spark.dataSource.register(type("RegisteredSource", (McapSource,), {"decoders": tuple(decoders or ())}))
 
 

@@ -5,7 +5,10 @@ The Spark side (``mcap``, ``scan``) plans and decodes with the same pieces.
 
 from __future__ import annotations
 
+import itertools
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -51,6 +54,7 @@ class PreparedTopic:
     decoder: TopicDecoder
     summary: c.Summary
     file: pa.NativeFile
+    parallel: bool = False
 
     @property
     def schema_name(self) -> str:
@@ -67,11 +71,24 @@ class PreparedTopic:
         return meta.arrow(self.fields)
 
     def rows(self, options: ReadOptions = ReadOptions()) -> Iterator[tuple[int, int, dict]]:
-        """Messages in chunk-index order, then as stored.  Skipped and filtered messages are not decoded; a reached limit ends the scan."""
+        """Messages in chunk-index order, then as stored.
+
+        One after the other, skipped and filtered messages are not decoded and a reached limit ends the scan.  In parallel
+        whole chunks are inflated and decoded ahead, in order, skipped messages included: of a chunk with a bad message nothing comes.
+        A limit always reads one after the other.
+        """
         if options.limit == 0:
             return
+        parallel = self.parallel if options.parallel is None else options.parallel
         skip, left = options.offset, options.limit
-        for ch in c.matching(self.summary, self.channel, options.start, options.end):
+        if parallel and left is None:
+            for log, pub, value in itertools.chain.from_iterable(self._ahead(options)):
+                if skip:
+                    skip -= 1
+                else:
+                    yield log, pub, value
+            return
+        for ch in self._chunks(options):
             for _, _, log, pub, data in c.messages(c.read_chunk(self.file, ch.offset, ch.length), self.channel.id, options.start, options.end):
                 if skip:
                     skip -= 1
@@ -82,6 +99,28 @@ class PreparedTopic:
                     if left == 0:
                         return
 
+    def _chunks(self, options: ReadOptions) -> list[c.ChunkIndex]:
+        return c.matching(self.summary, self.channel, options.start, options.end)
+
+    def _ahead(self, options: ReadOptions, depth: int = 8) -> Iterator[list[tuple[int, int, dict]]]:
+        """Decoded chunks in order, at most ``depth`` of them under way."""
+
+        def whole(ch: c.ChunkIndex) -> list[tuple[int, int, dict]]:
+            return [(log, pub, self.decoder.decode(data)) for _, _, log, pub, data in c.messages(c.read_chunk(self.file, ch.offset, ch.length), self.channel.id, options.start, options.end)]
+
+        with ThreadPoolExecutor() as pool:
+            waiting: deque = deque()
+            try:
+                for ch in self._chunks(options):
+                    waiting.append(pool.submit(whole, ch))
+                    if len(waiting) >= depth:
+                        yield waiting.popleft().result()
+                while waiting:
+                    yield waiting.popleft().result()
+            finally:
+                for f in waiting:
+                    f.cancel()
+
     def batches(self, options: ReadOptions = ReadOptions(), meta: Metadata = Metadata(), size: int = BATCH) -> Iterator[pa.RecordBatch]:
         self.batch_schema(meta)
         return batched(self.rows(options), self.fields, meta, size)
@@ -147,7 +186,7 @@ class LogReader:
     def prepare(self, path: str, topic: str) -> PreparedTopic:
         f = c.open_file(path)
         summary = c.read_summary(f)
-        return PreparedTopic(path, topic, *self._decoder(summary, topic), summary, f)
+        return PreparedTopic(path, topic, *self._decoder(summary, topic), summary, f, self.parallel)
 
     def each_message(self, path: str, topic: str, callback: Callable[[int, int, dict], None], options: ReadOptions = ReadOptions()) -> None:
         for row in self.prepare(path, topic).rows(options):

@@ -109,10 +109,23 @@ def test_options_and_early_stop(tmp_path):
     assert val(ReadOptions(3, 6)) == [2, 3, 4]
     assert val(ReadOptions(3, 7, offset=1, limit=2)) == [3, 4]
     assert val(ReadOptions(limit=6)) == [0, 1, 2, 3, 4, 5]
-    assert val(ReadOptions(limit=0)) == [] == val(ReadOptions(offset=99))
-    assert val(ReadOptions(offset=7)) == [7, 8, 9]  # the bad row is skipped undecoded
+    assert val(ReadOptions(limit=0)) == [] == val(ReadOptions(offset=99, parallel=False))
+    assert val(ReadOptions(offset=7, parallel=False)) == [7, 8, 9]  # the bad row is skipped undecoded
     with pytest.raises(MessageDecode):
-        val(ReadOptions())
+        val(ReadOptions(offset=7, parallel=True))
+
+
+def test_a_bad_row_ends_the_scan(tmp_path):
+    p, got = write(tmp_path / "a.mcap", 40, chunk_bytes=200, bad=23), {}
+    for parallel in (False, True):
+        got[parallel] = []
+        with pytest.raises(MessageDecode):
+            for r in reader().prepare(p, "/decoded").rows(ReadOptions(parallel=parallel)):
+                got[parallel].append(r[2]["value"])
+    assert got[False] == list(range(23)) and got[True] == list(range(len(got[True]))) and len(got[True]) < 23
+    q = write(tmp_path / "b.mcap", 40, chunk_bytes=200)
+    t = reader().prepare(q, "/decoded")
+    assert list(t.rows(ReadOptions(3, 30, 2, parallel=True))) == list(t.rows(ReadOptions(3, 30, 2, parallel=False)))
 
 
 def test_callbacks_are_wrapped_once(tmp_path):
@@ -238,3 +251,13 @@ def test_stream_of_arriving_files(spark, load, tmp_path):
     os.utime(folder / "b.mcap", (1, 1))
     write(folder / "a.mcap", 5)
     assert drain() == 8 == drain()
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    fields = (field("a", "I32"), field("A", "I32"))
+    p = str(tmp_path / "c.mcap")
+    with McapWriter(p) as w:
+        w.write(w.add_channel("/c", "cdr", w.add_schema("p/msg/C", "ros2msg", models.msg_text(fields, "p").encode())), 1, models.cdr(fields, {"a": 1, "A": 2}))
+    mcap.register(spark)
+    df = spark.read.format("mcap").option("topic", "/c").load(p)
+    assert rows(df.select("a", "A")) == [(1, 2)]
