@@ -93,6 +93,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_flags(spark, sf).select("msg_id")
 
 
+def p4_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings outside the physical limits of their topic."""
+    return p4_flags(spark, sf).where("is_range").select("msg_id", "reading")
+
+
+def p4_stuck(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of stretches of ten or more equal ones."""
+    return p4_flags(spark, sf).where("is_stuck").select("msg_id", "reading")
+
+
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return lateness.classify(table(spark, sf, "raw_messages"), ["file_id", "topic"])
 
@@ -122,7 +132,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p4_range, p4_stuck, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
@@ -203,6 +213,13 @@ GROUP BY 1, 2""",
     "p3_weighted_bytes": """
 SELECT r.topic, count(*) AS n_rows, sum(coalesce(octet_length(r.data), 0))::BIGINT AS sum_size, sum(coalesce(t.message_count, 0))::BIGINT AS sum_stated
 FROM raw_messages r JOIN topics t ON r.file_id = t.file_id GROUP BY 1""",
+    "p4_range": f"""WITH {_READ}
+SELECT o.msg_id, o.reading FROM ok o JOIN (SELECT DISTINCT topic, min_possible, max_possible FROM signal_limits) l ON o.topic = l.topic
+WHERE o.reading < l.min_possible OR o.reading > l.max_possible""",
+    "p4_stuck": f"""WITH {_READ},
+mark AS (SELECT *, CASE WHEN reading = lag(reading) OVER w THEN 0 ELSE 1 END AS fresh FROM ok WINDOW w AS (PARTITION BY file_id, topic ORDER BY log_time, msg_id)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id, topic ORDER BY log_time, msg_id) AS run FROM mark)
+SELECT msg_id, reading FROM runs QUALIFY count(*) OVER (PARTITION BY file_id, topic, run) >= 10""",
     "p5_found": f"WITH {_RAW_FIRST} SELECT msg_id FROM run WHERE behind > 60000000000",
     "p5_minutes": f"""WITH {_RAW_FIRST}
 SELECT topic, (publish_time // 60000000000) * 60000000000 AS window_start,

@@ -68,3 +68,58 @@ def test_malformed_and_empty(spark):
 @pytest.mark.parametrize("left,right", [("I8", "I16"), ({"data_type": "BoundedString", "max": 3}, {"data_type": "BoundedString", "max": 4})])
 def test_bounds_belong_to_the_type(spark, left, right):
     assert run(spark, [s(("a", left)), s(("a", right))]) == [(1, "a", "retyped")]
+
+
+def brute(files, schemas):
+    """Compare each file with the one before, walking both definitions together."""
+    out = set()
+    as_dict = lambda e: e if isinstance(e, dict) else {"data_type": e}
+
+    def kind(e):
+        e = as_dict(e)
+        return e["data_type"], e.get("max"), e.get("len"), str(sorted(map(str, e.get("variants") or []))), kind(e["item"]) if "item" in e else None, kind(e["key"]) if "key" in e else None
+
+    def inside(e):
+        e, marks = as_dict(e), ""
+        while "item" in e:
+            marks += "{}" if e["data_type"] == "Map" else "[]"
+            e = as_dict(e["item"])
+        return marks, e.get("fields") or []
+
+    def compare(a, b, path, key):
+        old = {f["name"]: (i, f["element"]) for i, f in enumerate(a)}
+        new = {f["name"]: (i, f["element"]) for i, f in enumerate(b)}
+        full = lambda n: f"{path}.{n}" if path else n
+        went = {n for n in old if n not in new}
+        for n in new:
+            if n in old:
+                if kind(old[n][1]) != kind(new[n][1]):
+                    out.add((*key, full(n), "retyped"))
+                else:
+                    compare(inside(old[n][1])[1], inside(new[n][1])[1], full(n) + inside(new[n][1])[0], key)
+                continue
+            same = [w for w in went if old[w][0] == new[n][0] and kind(old[w][1]) == kind(new[n][1])]
+            out.add((*key, full(n), "renamed" if same else "added"))
+            went -= set(same[:1])
+        out.update((*key, full(w), "removed") for w in went)
+
+    by = {}
+    for r in {tuple(r) for r in schemas}:
+        if r[1] in files:
+            by.setdefault((files[r[1]][0], r[2]), []).append((files[r[1]][1], r))
+    for versions in by.values():
+        versions.sort()
+        for (_, a), (_, b) in zip(versions, versions[1:]):
+            key = (b[1], b[2])
+            compare(json.loads(a[5]), json.loads(b[5]), "", key)
+            out.update((*key, "", n) for k, n in ((3, "schema_name"), (4, "schema_encoding")) if a[k] != b[k])
+    return out
+
+
+def test_whole_tables_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    files, schemas = spark.read.parquet(f"{sf}/mcap_files.parquet"), spark.read.parquet(f"{sf}/topic_schemas.parquet")
+    names = ["schema_id", "file_id", "topic", "schema_name", "schema_encoding", "field_defs"]
+    want = brute({r.file_id: (r.vehicle, r.started_at) for r in files.collect()}, schemas.select(*names).collect())
+    got = {tuple(r) for r in lifespan.changes(files, schemas).select("file_id", "topic", "field_path", "change").collect()}
+    assert got == want and len(got) > 20
