@@ -271,10 +271,10 @@ def _parse(text: str | None) -> list[dict] | None:
     return [dict(zip(NODES.names, row, strict=True)) for row in field_nodes(defs)]
 
 
-def explode_fields(df: DataFrame, defs: str, keep: list[str]) -> DataFrame:
+def explode_fields(df: DataFrame, defs: str, keep: list[str], more: Column | None = None) -> DataFrame:
     """One row per field definition of the JSON in column ``defs``: ``keep`` columns plus those of ``NODES``.
 
-    Equal texts are parsed once per batch.  Null, empty and malformed texts give
+    ``more``, an array of such nodes made from ``keep`` columns, is taken along with the definitions.  Equal texts are parsed once per batch.  Null, empty and malformed texts give
     no rows.  The JSON is a recursive union of strings and objects, which no
     Spark schema can express, hence Arrow batches in Python.
     """
@@ -289,4 +289,7 @@ def explode_fields(df: DataFrame, defs: str, keep: list[str]) -> DataFrame:
             nodes = pa.array([None if i is None else parsed[i] for i in texts.indices.to_pylist()], _NODES_ARROW)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], nodes], [*[f.name for f in fields], "_nodes"])
 
-    return src.repartition(tasks(df.sparkSession)).mapInArrow(run, out).select(*[F.col(f"`{f.name}`") for f in fields], F.inline("_nodes"))
+    nodes = F.col("_nodes")
+    if more is not None:
+        nodes = F.concat(F.coalesce(nodes, F.array().cast(T.ArrayType(NODES))), more.cast(T.ArrayType(NODES)))
+    return src.repartition(tasks(df.sparkSession)).mapInArrow(run, out).select(*[F.col(f"`{f.name}`") for f in fields], F.inline(nodes))

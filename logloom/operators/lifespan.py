@@ -25,7 +25,7 @@ Defined cases:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.exact import floor_div
@@ -56,13 +56,14 @@ def versions(files: DataFrame, schemas: DataFrame) -> DataFrame:
 def lifespans(vers: DataFrame) -> DataFrame:
     """Islands of every (producer, topic, field, type): first and last version, with whether they start or end inside the history."""
     keep = ["producer", "topic", "seq", "n_versions", "file_id"]
-    fields = explode_fields(vers, "field_defs", keep).select(*keep, "node", "parent", "pos", "type", "above")
-    none = F.array().cast("array<string>")
 
-    def pseudo(node: str, c: str) -> DataFrame:
-        return vers.select(*keep, F.lit(node).alias("node"), F.lit("").alias("parent"), F.lit(-1).alias("pos"), F.coalesce(F.concat(F.lit("="), c), F.lit("null")).alias("type"), none.alias("above"))
+    def pseudo(node: str, c: str) -> Column:
+        """The schema's own name and encoding as fields whose type is their value."""
+        value = F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+        none = F.array().cast("array<string>")
+        return F.struct(F.array().cast("array<int>").alias("dewey"), F.lit(node).alias("node"), F.lit("").alias("parent"), F.lit(node).alias("name"), F.lit(-1).alias("pos"), value.alias("type"), none.alias("above"), F.lit(False).alias("nullable"))
 
-    rows = fields.unionByName(pseudo(NAME, "schema_name")).unionByName(pseudo(ENCODING, "schema_encoding"))
+    rows = explode_fields(vers, "field_defs", [*keep, "schema_name", "schema_encoding"], F.array(pseudo(NAME, "schema_name"), pseudo(ENCODING, "schema_encoding"))).select(*keep, "node", "parent", "pos", "type", "above")
     block = floor_div(F.col("seq"), BLOCK)
     at = F.col("seq") % BLOCK
     homes = F.filter(F.array(block, F.when(at == BLOCK - 1, block + 1), F.when((at == 0) & (block > 0), block - 1)), lambda x: x.isNotNull())
@@ -88,10 +89,8 @@ def changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
     vers = versions(files, schemas)
     edges = lifespans(vers)
     cols = ["producer", "topic", "node", "parent", "pos", "type", "above"]
-    events = (
-        edges.where("starts").select(*cols, "seq", F.lit(True).alias("start"))
-        .unionByName(edges.where("ends").select(*cols, (F.col("seq") + 1).alias("seq"), F.lit(False).alias("start")))
-    )
+    sides = F.filter(F.array(F.struct(F.col("starts").alias("is"), F.lit(True).alias("start"), F.col("seq").alias("seq")), F.struct(F.col("ends").alias("is"), F.lit(False).alias("start"), (F.col("seq") + 1).alias("seq"))), lambda e: e["is"])
+    events = edges.select(*cols, F.explode(sides).alias("side")).select(*cols, "side.seq", "side.start")
     at = ["producer", "topic", "seq"]
     whole = Window.partitionBy(*at)
     paths = lambda start: F.collect_set(F.when(F.col("start") == F.lit(start), F.col("node"))).over(whole)
