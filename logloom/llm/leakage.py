@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from logloom.session import spread
 
 #: Bytes of text handled at once, and overlap of the pieces of a longer text.
-PIECE, OVERLAP, CHUNK = 8 << 20, 256 << 10, 1 << 20
+PIECE, OVERLAP, CHUNK = 4 << 20, 256 << 10, 1 << 20
 #: Item windows in one broadcast index (about 30 bytes each).
 MAX_WINDOWS = 1_000_000
 
