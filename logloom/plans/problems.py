@@ -198,6 +198,53 @@ WITH o AS (SELECT msg_id, unnest(value.objects) AS e, generate_subscripts(value.
 p AS (SELECT msg_id, i, e.label AS label, unnest(e.parts) AS q FROM o WHERE e IS NOT NULL),
 c AS (SELECT msg_id, i, label, q.name AS part_name, unnest(q.health.codes) AS code, generate_subscripts(q.health.codes, 1) - 1 AS code_pos FROM p WHERE q IS NOT NULL)
 SELECT msg_id, i AS object_pos, label, part_name, code_pos, code FROM c WHERE code IS NOT NULL""",
+    "p2_found": """
+WITH RECURSIVE defs AS (SELECT schema_id, any_value(field_defs)::JSON AS d FROM topic_schemas GROUP BY schema_id),
+walk AS (
+  SELECT schema_id, '' AS prefix, '' AS parent, '' AS path, 0 AS pos, NULL::JSON AS element, d AS fields, NULL::JSON AS el FROM defs
+  UNION ALL
+  SELECT schema_id,
+    CASE WHEN el IS NULL THEN prefix || json_extract_string(x, '$.name')
+         ELSE prefix || CASE WHEN json_extract_string(el, '$.data_type') = 'Map' THEN '{}' ELSE '[]' END END
+      || CASE WHEN json_exists(CASE WHEN el IS NULL THEN x ELSE el END, CASE WHEN el IS NULL THEN '$.element.fields' ELSE '$.item.fields' END) THEN '.' ELSE '' END,
+    CASE WHEN el IS NULL THEN path ELSE parent END,
+    CASE WHEN el IS NULL THEN prefix || json_extract_string(x, '$.name') ELSE path END,
+    CASE WHEN el IS NULL THEN i ELSE -1 END,
+    json_extract(x, '$.element'),
+    CASE WHEN el IS NULL THEN json_extract(x, '$.element.fields') ELSE json_extract(el, '$.item.fields') END,
+    CASE WHEN el IS NULL THEN CASE WHEN json_exists(x, '$.element.item') THEN json_extract(x, '$.element') END
+         ELSE CASE WHEN json_exists(el, '$.item.item') THEN json_extract(el, '$.item') END END
+  FROM (SELECT *, unnest(CASE WHEN el IS NULL THEN from_json(fields, '["JSON"]') ELSE ['0'::JSON] END) AS x,
+               unnest(range(CASE WHEN el IS NULL THEN json_array_length(fields)::BIGINT ELSE 1 END)) AS i FROM walk WHERE fields IS NOT NULL OR el IS NOT NULL)),
+kinds AS (
+  SELECT schema_id, path, parent, pos, element AS e, '' AS kind FROM walk WHERE pos >= 0 AND path <> ''
+  UNION ALL
+  SELECT schema_id, path, parent, pos, json_extract(e, '$.item'),
+    kind || '/' || coalesce(json_extract_string(e, '$.data_type'), json_extract_string(e, '$')) || ':' || coalesce(json_extract_string(e, '$.max'), '') || ':' || coalesce(json_extract_string(e, '$.len'), '')
+      || ':' || coalesce(json_extract_string(e, '$.key.data_type'), json_extract_string(e, '$.key'), '')
+      || ':' || coalesce(array_to_string(list_sort(list_transform(from_json(json_extract(e, '$.variants'), '["JSON"]'), lambda v: json_extract_string(v, '$.name') || '=' || json_extract_string(v, '$.value'))), '|'), '')
+  FROM kinds WHERE e IS NOT NULL),
+nodes AS (SELECT schema_id, path, parent, pos, kind FROM kinds WHERE e IS NULL),
+files AS (SELECT file_id, min(vehicle) AS vehicle, min(started_at) AS started_at FROM mcap_files WHERE started_at IS NOT NULL AND vehicle IS NOT NULL GROUP BY 1),
+chosen AS (SELECT file_id, topic, min(schema_id) AS schema_id FROM topic_schemas GROUP BY 1, 2),
+named AS (SELECT schema_id, any_value(schema_name) AS schema_name, any_value(schema_encoding) AS schema_encoding FROM topic_schemas GROUP BY 1),
+steps AS (SELECT file_id, topic, schema_id, lag(schema_id) OVER (PARTITION BY vehicle, topic ORDER BY started_at, file_id) AS before FROM chosen JOIN files USING (file_id)),
+came AS (SELECT s.file_id, s.topic, n.path, n.parent, n.pos, n.kind, o.path IS NOT NULL AS kept FROM steps s JOIN nodes n ON n.schema_id = s.schema_id
+         LEFT JOIN nodes o ON o.schema_id = s.before AND o.path = n.path WHERE s.before IS NOT NULL AND (o.path IS NULL OR o.kind <> n.kind)),
+went AS (SELECT s.file_id, s.topic, o.path, o.parent, o.pos, o.kind, n.path IS NOT NULL AS kept FROM steps s JOIN nodes o ON o.schema_id = s.before
+         LEFT JOIN nodes n ON n.schema_id = s.schema_id AND n.path = o.path WHERE n.path IS NULL OR o.kind <> n.kind),
+came_top AS (SELECT * FROM came c WHERE NOT EXISTS (SELECT 1 FROM came a WHERE a.file_id = c.file_id AND a.topic = c.topic AND c.path <> a.path
+         AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[') OR starts_with(c.path, a.path || '{')))),
+went_top AS (SELECT * FROM went c WHERE NOT EXISTS (SELECT 1 FROM went a WHERE a.file_id = c.file_id AND a.topic = c.topic AND c.path <> a.path
+         AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[') OR starts_with(c.path, a.path || '{')))),
+pairs AS (SELECT c.file_id, c.topic, c.path, w.path AS old FROM came_top c JOIN went_top w USING (file_id, topic, parent, pos, kind) WHERE NOT c.kept AND NOT w.kept)
+SELECT file_id, topic, path AS field_path, CASE WHEN kept THEN 'retyped' WHEN (file_id, topic, path) IN (SELECT (file_id, topic, path) FROM pairs) THEN 'renamed' ELSE 'added' END AS change FROM came_top
+UNION ALL
+SELECT file_id, topic, path, 'removed' FROM went_top WHERE NOT kept AND (file_id, topic, path) NOT IN (SELECT (file_id, topic, old) FROM pairs)
+UNION ALL
+SELECT s.file_id, s.topic, '', 'schema_name' FROM steps s JOIN named n ON n.schema_id = s.schema_id JOIN named o ON o.schema_id = s.before WHERE n.schema_name IS DISTINCT FROM o.schema_name
+UNION ALL
+SELECT s.file_id, s.topic, '', 'schema_encoding' FROM steps s JOIN named n ON n.schema_id = s.schema_id JOIN named o ON o.schema_id = s.before WHERE n.schema_encoding IS DISTINCT FROM o.schema_encoding""",
     "p3_found": """
 SELECT DISTINCT t.file_id, t.topic FROM topics t
 LEFT JOIN (SELECT file_id, topic, count(DISTINCT msg_id) AS n FROM raw_messages GROUP BY 1, 2) r ON t.file_id = r.file_id AND t.topic = r.topic
