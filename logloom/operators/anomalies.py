@@ -13,10 +13,12 @@ Three checks over the usable readings of a source in order of time:
   scatter, and its neighbours do not.  Lasting steps, switching between levels,
   filling and emptying thereby stay unflagged.
 
-A source is cut into segments of about ``SEGMENT`` readings by quantiles of its
-time, each seeing ``HALO`` readings on either side, so a source of any size is
+A source is cut into equal segments of about ``SEGMENT`` readings by quantiles of
+its time, each seeing ``HALO`` readings on either side, so a source of any size is
 spread over tasks; runs and neighbourhoods are far shorter than the halo.  The
-scatter is that of the segment.
+scatter and the limits of the test are those of the whole source whatever its size:
+segments count remainders and differences by narrow bins, the counts of a source add
+up, and every segment is judged by what they yield.  Trend and season are local.
 
 Defined cases: unusable readings (null, empty, NaN, no number), rows without
 time or source are not judged; copies of a message count once; equal times are
@@ -30,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -82,52 +85,95 @@ def _t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     return z + g1 / df + g2 / df**2 + g3 / df**3
 
 
+def _bins(x: np.ndarray) -> np.ndarray:
+    """Signed bin numbers, 1,024 bins an octave; only zero and the smallest subnormal numbers lie in bin 0."""
+    b = np.abs(x).astype(np.float64).view(np.int64) >> 42
+    return np.where(x < 0, -b, b)
+
+
+def _middles(bins: np.ndarray) -> np.ndarray:
+    b = np.abs(bins).astype(np.int64)
+    return np.where(b == 0, 0.0, np.sign(bins) * ((b << 42) + (1 << 41)).view(np.float64))
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bins, counts) of the finite values."""
+    return np.unique(_bins(x[np.isfinite(x)]), return_counts=True)
+
+
+def _median_of(v: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(v)
+    upto, last = np.cumsum(n[order]), int(n.sum()) - 1
+    return float(v[order][np.searchsorted(upto, [last // 2, (last + 1) // 2], "right")].mean())
+
+
+def _mad_of(v: np.ndarray, n: np.ndarray) -> float:
+    return 1.4826 * _median_of(np.abs(v - _median_of(v, n)), n) if len(v) else 0.0
+
+
+def _deviate_limit(v: np.ndarray, n: np.ndarray, scatter: float, alpha: float, share: float) -> tuple[float, float]:
+    """(centre, limit) of the generalised ESD test over values ``v`` that occur ``n`` times."""
+    total = int(n.sum())
+    k = int(total * share)
+    if total < 5 or k < 1:
+        return 0.0, np.inf
+    centre = _median_of(v, n)
+    dev = np.abs(v - centre)
+    order = np.argsort(-dev, kind="stable")
+    d, c = dev[order], n[order].astype(np.int64)
+    last = np.cumsum(c)
+    i = np.minimum(last, k)
+    tail = np.cumsum((c * d**2)[::-1])[::-1] - (i - (last - c) - 1) * d**2
+    few = last - c < k  # bins whose first value is among the k largest
+    d, tail, i = d[few], tail[few], i[few]
+    bound = lambda r: _esd_bound(total, r, alpha)
+    spread = np.maximum(np.sqrt(np.maximum(tail, 0) / np.maximum(total - i, 1)), max(scatter / 2, 1e-300))
+    over = np.flatnonzero((d / spread > bound(i)) & (d > 0))
+    # In the tail a share of the largest hides the spread of all: whatever exceeds the limit by the robust scatter counts too.
+    plain = float(bound(np.array([1]))[0]) * max(scatter, 1e-300)
+    return centre, min(plain, float(np.nextafter(d[over[-1]], 0)) if len(over) else np.inf)
+
+
+def _esd_bound(total: int, i: np.ndarray, alpha: float) -> np.ndarray:
+    m = np.maximum(total - i - 1, 3)
+    t = _t_quantile(1 - alpha / (2 * (total - i + 1)), m)
+    return (total - i) * t / np.sqrt((m + t**2) * (total - i + 1))
+
+
 def extreme_deviates(rest: np.ndarray, scatter: float, alpha: float = 0.05, share: float = 0.25) -> np.ndarray:
     """Generalised ESD: mask of the remainders that are outliers at level ``alpha``, at most ``share`` of them.
 
     Deviations are taken from the median and scaled by the spread of what remains once the larger ones are out
     (never below the robust scatter's half), so outliers do not hide each other.
     """
-    n = len(rest)
-    mask = np.zeros(n, bool)
-    k = int(n * share)
-    if n < 5 or k < 1:
-        return mask
-    dev = np.abs(rest - np.median(rest))
-    order = np.argsort(-dev, kind="stable")
-    d = dev[order]
-    left = n - np.arange(k)
-    tail = np.cumsum(d[::-1] ** 2)[::-1][:k]
-    spread = np.maximum(np.sqrt(tail / np.maximum(left - 1, 1)), max(scatter / 2, 1e-300))
-    stat = d[:k] / spread
-    i = np.arange(1, k + 1)
-    m = np.maximum(n - i - 1, 3)
-    t = _t_quantile(1 - alpha / (2 * (n - i + 1)), m)
-    limit = (n - i) * t / np.sqrt((m + t**2) * (n - i + 1))
-    over = np.flatnonzero((stat > limit) & (d[:k] > 0))
-    # In the tail a share of the largest hides the spread of all: whatever exceeds the limit by the robust scatter counts too.
-    mask[order[: over[-1] + 1 if len(over) else 0]] = True
-    return mask | (dev > limit[0] * max(scatter, 1e-300))
+    bins, n = counted(rest)
+    return _beyond(rest, *_deviate_limit(_middles(bins), n, scatter, alpha, share))
+
 
+def _beyond(rest: np.ndarray, centre: float, limit: float) -> np.ndarray:
+    return np.abs(_middles(_bins(rest)) - centre) > limit
 
-def usual_scatter(y: np.ndarray, rest: np.ndarray) -> float:
-    """Robust scatter around the course: from remainders and from successive differences, not below half a quantum."""
-    s = max(_mad(rest), _mad(np.diff(y)) / np.sqrt(2))
-    if s == 0:
-        steps = np.diff(np.unique(y))
-        s = 0.5 * float(steps.min()) if len(steps) else 0.0
-    return s
+
+def usual(rest: tuple[np.ndarray, np.ndarray], steps: tuple[np.ndarray, np.ndarray], quantum: float, alpha: float = 0.05, share: float = 0.25) -> tuple[float, float, float]:
+    """(scatter, centre, limit) of a source from the counted remainders and successive differences.
+
+    The scatter is robust and not below half a ``quantum``, the least step between the values that occur; remainders
+    further than ``limit`` from ``centre`` are suspects.
+    """
+    v, n = _middles(rest[0]), rest[1]
+    scatter = max(_mad_of(v, n), _mad_of(_middles(steps[0]), steps[1]) / np.sqrt(2)) or 0.5 * quantum
+    return scatter, *_deviate_limit(v, n, scatter, alpha, share)
 
 
-def spikes(y: np.ndarray, max_spike: int = 3, factor: float = 8.0, side: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(is_spike, trend, season) of a series of plausible readings."""
+def spikes(y: np.ndarray, max_spike: int = 3, factor: float = 8.0, side: int = 5, known: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is_spike, trend, season) of a series of plausible readings; ``known`` is the source's ``usual`` where the series is a part of it."""
     n = len(y)
     out = np.zeros(n, bool)
     if n < 5:
         return out, np.full(n, np.median(y) if n else 0.0), np.zeros(n)
     trend, season, rest = decompose(y)
-    scatter = usual_scatter(y, rest)
-    suspect = extreme_deviates(rest, scatter)
+    scatter, centre, limit = known or usual(counted(rest), counted(np.diff(y)), float(np.diff(np.unique(y)).min(initial=np.inf)) if y.min() < y.max() else 0.0)
+    suspect = _beyond(rest, centre, limit)
     if scatter == 0 or not suspect.any():
         return out, trend, season
     z = y - season
@@ -161,19 +207,19 @@ def equal_runs(x: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.r_[start, len(x)]), np.diff(np.r_[start, len(x)]))
 
 
-def judge(x: np.ndarray, lo: float, hi: float, min_run: int, max_spike: int, factor: float) -> tuple[np.ndarray, ...]:
+def judge(x: np.ndarray, lo: float, hi: float, min_run: int, max_spike: int, factor: float, known: tuple[float, float, float] | None = None) -> tuple[np.ndarray, ...]:
     """(trend, season, range, stuck, spike) of one stretch of a source in order of time."""
     out = (x < lo) | (x > hi)
     stuck = equal_runs(x) >= min_run
     spike, trend, season = np.zeros(len(x), bool), np.full(len(x), np.nan), np.zeros(len(x))
     ok = ~out
     if ok.any():
-        spike[ok], trend[ok], season[ok] = spikes(x[ok], max_spike, factor)
+        spike[ok], trend[ok], season[ok] = spikes(x[ok], max_spike, factor, known=known)
     return trend, season, out, stuck, spike
 
 
-def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [c.split()[0] for c in _ROWS.split(", ")]
+def _by_segment(done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``done`` over whole segments of a partition sorted by them, given the rows and where segments start; a segment may span batches."""
 
     def starts(t: pa.Table) -> np.ndarray:
         new = np.ones(len(t), bool)
@@ -182,25 +228,6 @@ def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iter
         new[1:] |= code[1:] != code[:-1]
         return np.append(np.flatnonzero(new), len(t))
 
-    def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
-        # Copies of a message stand side by side.
-        msg, time = t.column("msg_id").to_numpy(), t.column("log_time").to_numpy()
-        first = np.ones(len(t), bool)
-        first[1:] = (msg[1:] != msg[:-1]) | (time[1:] != time[:-1])
-        first[at[:-1]] = True
-        if not first.all():
-            at = np.append(np.cumsum(first)[at[:-1]] - 1, first.sum())
-            t = t.filter(pa.array(first)).combine_chunks()
-        x = t.column("reading").to_numpy()
-        lo = t.column("lo").fill_null(-np.inf).to_numpy()
-        hi = t.column("hi").fill_null(np.inf).to_numpy()
-        own = t.column("own").to_numpy()
-        parts = [judge(x[a:b], lo[a], hi[a], min_run, max_spike, factor) for a, b in zip(at[:-1], at[1:], strict=True)]
-        got = [np.concatenate(c)[own] for c in zip(*parts, strict=True)]
-        keep = t.filter(pa.array(own))
-        cols = [keep.column(c).combine_chunks() for c in names[:5]]
-        return pa.RecordBatch.from_arrays([*cols, *map(pa.array, got)], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
@@ -209,17 +236,101 @@ def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iter
             t = pa.Table.from_batches([*rest, b]).combine_chunks()
             at = starts(t)
             if len(at) > 2:
-                yield done(t.slice(0, at[-2]), at[:-1])
+                yield done(*_distinct(t.slice(0, at[-2]), at[:-1]))
             rest = t.slice(at[-2]).to_batches()
         if rest:
             t = pa.Table.from_batches(rest).combine_chunks()
-            yield done(t, starts(t))
+            yield done(*_distinct(t, starts(t)))
 
     return run
 
 
-def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
-    """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``: segments of about ``segment`` rows, with ``halo`` foreign rows on each side.
+def _distinct(t: pa.Table, at: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    # Copies of a message stand side by side.
+    msg, time = t.column("msg_id").to_numpy(), t.column("log_time").to_numpy()
+    first = np.ones(len(t), bool)
+    first[1:] = (msg[1:] != msg[:-1]) | (time[1:] != time[:-1])
+    first[at[:-1]] = True
+    if not first.all():
+        at = np.append(np.cumsum(first)[at[:-1]] - 1, first.sum())
+        t = t.filter(pa.array(first)).combine_chunks()
+    return t, at
+
+
+def _bounds(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return t.column("lo").fill_null(-np.inf).to_numpy(), t.column("hi").fill_null(np.inf).to_numpy()
+
+
+def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+
+    def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        x, own = t.column("reading").to_numpy(), t.column("own").to_numpy()
+        lo, hi = _bounds(t)
+        scatter, centre, limit = (t.column(c).to_numpy() for c in ("scatter", "centre", "limit"))
+        known = lambda a: None if np.isnan(scatter[a]) else (scatter[a], centre[a], limit[a])
+        parts = [judge(x[a:b], lo[a], hi[a], min_run, max_spike, factor, known(a)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        got = [np.concatenate(c)[own] for c in zip(*parts, strict=True)]
+        keep = t.filter(pa.array(own))
+        cols = [keep.column(c).combine_chunks() for c in names[:5]]
+        return pa.RecordBatch.from_arrays([*cols, *map(pa.array, got)], names)
+
+    return _by_segment(done)
+
+
+_COUNTS = pa.schema([("file_id", pa.int64()), ("topic", pa.string()), ("kind", pa.int32()), ("bin", pa.int64()), ("n", pa.int64())])
+
+
+def _count_sorted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per segment the counted remainders (kind 0) and successive differences (kind 1) of its own plausible readings."""
+
+    def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        x, own = t.column("reading").to_numpy(), t.column("own").to_numpy()
+        file, topic = t.column("file_id").to_numpy(), t.column("topic")
+        lo, hi = _bounds(t)
+        out = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            ok = (x[a:b] >= lo[a]) & (x[a:b] <= hi[a])
+            y, mine = x[a:b][ok], own[a:b][ok]
+            if not len(y):
+                continue
+            for kind, (bins, n) in enumerate((counted(decompose(y)[2][mine]), counted(np.diff(y)[mine[1:]]))):
+                out.append(pa.Table.from_arrays([pa.array(np.full(len(n), file[a])), pa.array([topic[a].as_py()] * len(n), pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(bins.astype(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNTS))
+        batches = pa.concat_tables([_COUNTS.empty_table(), *out]).combine_chunks().to_batches()
+        return batches[0] if batches else pa.RecordBatch.from_pylist([], _COUNTS)
+
+    return _by_segment(done)
+
+
+def _usual_of(counts: pd.DataFrame) -> pd.DataFrame:
+    rest, steps = ((c["bin"].to_numpy(), c["n"].to_numpy().astype(np.int64)) for c in (counts[counts["kind"] == 0], counts[counts["kind"] == 1]))
+    quantum = counts.loc[counts["kind"] == 2, "n"].min()
+    first = counts.iloc[0]
+    got = usual(rest, steps, 0.0 if pd.isna(quantum) else float(quantum)) if len(rest[0]) else (0.0, 0.0, np.inf)
+    return pd.DataFrame([(first["file_id"], first["topic"], *got)], columns=["file_id", "topic", "scatter", "centre", "limit"])
+
+
+def _usuals(large: DataFrame, sorted_parts: DataFrame) -> DataFrame:
+    """``(file_id, topic, scatter, centre, limit)`` of every source that is cut.
+
+    A source's counts are a bounded number of bins; they are added up before they meet.
+    """
+    keys = ["file_id", "topic"]
+    counts = sorted_parts.mapInArrow(_count_sorted(), "file_id bigint, topic string, kind int, bin bigint, n bigint").groupBy(*keys, "kind", "bin").agg(F.sum("n").cast("double").alias("n"))
+    # The least step between plausible values: inside and between ranges of values, each small enough for a task.
+    plausible = F.col("own") & (F.col("reading") >= F.coalesce("lo", F.lit(float("-inf")))) & (F.col("reading") <= F.coalesce("hi", F.lit(float("inf"))))
+    values = large.where(plausible).select(*keys, "reading").distinct()
+    octave = F.when(F.col("reading") == 0, 0.0).otherwise(F.signum("reading") * (F.floor(F.log2(F.abs("reading")) * 64) + 1e6))
+    inside = values.withColumn("range", octave).withColumn("step", F.col("reading") - F.lag("reading").over(Window.partitionBy(*keys, "range").orderBy("reading")))
+    ranges = inside.groupBy(*keys, "range").agg(F.min("reading").alias("least"), F.max("reading").alias("most"), F.min("step").alias("step"))
+    gaps = ranges.withColumn("gap", F.col("least") - F.lag("most").over(Window.partitionBy(*keys).orderBy("least")))
+    quanta = gaps.groupBy(*keys).agg(F.min(F.least("step", "gap")).alias("n")).where("n is not null")
+    every = counts.unionByName(quanta.select(*keys, F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("bin"), "n"))
+    return every.groupBy(*keys).applyInPandas(_usual_of, "file_id bigint, topic string, scatter double, centre double, limit double")
+
+
+def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``, small sources whole and large ones cut: equal segments of about ``segment`` rows, with ``halo`` foreign rows on each side.
 
     Cuts are quantiles of the time of sources larger than two segments, from mergeable sketches over ``every``, which
     has at least the rows' source and time but need not cost what the rows cost.  Smaller sources stay whole.
@@ -228,9 +339,9 @@ def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: i
     size = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * segment)
     parts = [k / PARTS for k in range(1, PARTS)]
     large = every.join(size, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile_approx("log_time", parts, 10 * PARTS).alias("q"))
-    # Of the 256ths as many make a segment as hold its share; sources beyond 256 segments have larger ones.
-    step = F.greatest(F.lit(1), F.floor(F.lit(PARTS * segment) / F.col("n"))).cast("int")
-    cuts = large.withColumn("step", step).select(*keys, F.expr("array_distinct(filter(q, (v, i) -> (i + 1) % step = 0))").alias("cuts"))
+    # Cuts are the 256ths nearest to equal shares; sources beyond 256 segments have larger ones.
+    share = large.withColumn("k", F.least(F.lit(PARTS), F.ceil(F.col("n") / segment)).cast("int"))
+    cuts = share.select(*keys, F.expr(f"array_distinct(transform(sequence(1, k - 1), j -> q[cast(round(j * {PARTS} / k) as int) - 1]))").alias("cuts"))
     placed = rows.join(cuts, keys, "left").withColumn("seg", F.coalesce(F.expr("size(filter(cuts, c -> c < log_time))"), F.lit(0))).withColumn("last", F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts"))).drop("cuts")
     whole = placed.where("last = 0").drop("last").withColumn("own", F.lit(True))
     cut = placed.where("last > 0")
@@ -238,7 +349,7 @@ def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: i
     ranked = cut.withColumn("_up", F.row_number().over(w.orderBy("log_time", "msg_id"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("log_time"), F.desc("msg_id"))))
     homes = F.filter(F.array(F.col("seg"), F.when((F.col("_up") <= halo) & (F.col("seg") > 0), F.col("seg") - 1), F.when((F.col("_down") <= halo) & (F.col("seg") < F.col("last")), F.col("seg") + 1)), lambda v: v.isNotNull())
     spread = ranked.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_up", "_down", "last").withColumnRenamed("home", "seg")
-    return whole.unionByName(spread)
+    return whole, spread
 
 
 def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: int = 3, factor: float = 8.0) -> DataFrame:
@@ -250,6 +361,10 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     ok = readings.where(F.col("reading").isNotNull() & ~F.isnan("reading") & F.col("log_time").isNotNull() & F.col("file_id").isNotNull() & F.col("topic").isNotNull() & F.col("msg_id").isNotNull())
     rows = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading"))
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
-    parts = segmented(rows, readings.select("file_id", "topic", "log_time")).join(bounds, "topic", "left").select("file_id", "topic", "seg", "log_time", "msg_id", "reading", "lo", "hi", "own")
-    parts = parts.repartition(n, "file_id", "topic", "seg").sortWithinPartitions("file_id", "topic", "seg", "log_time", "msg_id")
-    return parts.mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)
+    order = ["file_id", "topic", "seg", "log_time", "msg_id"]
+    dealt = lambda d: d.repartition(n, *order[:3]).sortWithinPartitions(*order)
+    whole, cut = segmented(rows.join(bounds, "topic", "left"), readings.select("file_id", "topic", "log_time"))
+    own = ["scatter", "centre", "limit"]
+    known = cut.join(_usuals(cut, dealt(cut)), ["file_id", "topic"], "left").fillna(0.0, ["scatter"])
+    parts = whole.select("*", *[F.lit(float("nan")).alias(c) for c in own]).unionByName(known)
+    return dealt(parts.select(*order, "reading", "lo", "hi", "own", *own)).mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)

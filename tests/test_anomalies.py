@@ -67,6 +67,27 @@ def test_segments_do_not_change_the_result(spark, monkeypatch):
     assert whole["is_spike"] == [500, 1023, 1024, 1499, 2047] and len(whole["is_stuck"]) == 15
 
 
+def test_scatter_is_that_of_the_source_however_it_is_cut(spark, monkeypatch):
+    quiet, loud = noise(1500, 8, s=0.1), noise(1500, 9, s=1.0)
+    x = [v for k in range(0, 1500, 300) for v in (*quiet[k : k + 300], *loud[k : k + 300])]
+    for k, by in ((150, 1.2), (450, 9.0), (1050, 9.0), (2990, 9.0)):
+        x[k] = 50.0 + by
+    constant = [50.0] * 2990 + [50.5] * 10
+    constant[700], constant[1500] = 53.0, 60.0  # the least step, 0.5, and the spikes lie in different segments
+    whole = [flags(spark, v) for v in (x, constant)]
+    monkeypatch.setattr(an.segmented, "__defaults__", (300, 64))
+    assert [flags(spark, v) for v in (x, constant)] == whole
+    assert {450, 1050, 2990} <= set(whole[0]["is_spike"]) and 150 not in whole[0]["is_spike"]
+    assert whole[1]["is_spike"] == [700, 1500]
+
+
+def test_segments_are_of_equal_size(spark):
+    df = spark.range(1001).selectExpr("1L file_id", "'/t' topic", "id msg_id", "id log_time")
+    _, cut = an.segmented(df, df, 250, 8)
+    sizes = [r["count"] for r in cut.where("own").groupBy("seg").count().collect()]
+    assert len(sizes) == 5 and min(sizes) > 180
+
+
 def test_season_is_found_where_there_is_one():
     t = np.arange(400)
     y = 10 + 3 * np.sin(2 * np.pi * t / 9) + 0.05 * np.random.default_rng(1).standard_normal(400)
