@@ -21,7 +21,8 @@ segments count remainders and differences by narrow bins, the counts of a source
 up, and every segment is judged by what they yield.  Trend and season are local.
 
 Defined cases: unusable readings (null, empty, NaN, no number), rows without
-time or source are not judged; copies of a message count once; equal times are
+time or source are not judged; copies of a message count once and are removed before
+a source is cut (the smallest reading counts if they differ); equal times are
 ordered by message id; topics without limits have no range check; null limits do
 not limit; a source shorter than five readings has no spikes; an empty table
 gives an empty result; further columns are ignored.
@@ -233,30 +234,22 @@ def _by_segment(done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Calla
         for b in batches:
             if not b.num_rows:
                 continue
+            last = pa.Table.from_batches([b.slice(b.num_rows - 1)])
+            if rest and len(starts(pa.Table.from_batches([rest[0].slice(0, 1), *last.to_batches()]).combine_chunks())) == 2:
+                rest.append(b)  # all of one segment
+                continue
             t = pa.Table.from_batches([*rest, b]).combine_chunks()
             at = starts(t)
             if len(at) > 2:
-                yield done(*_distinct(t.slice(0, at[-2]), at[:-1]))
+                yield done(t.slice(0, at[-2]), at[:-1])
             rest = t.slice(at[-2]).to_batches()
         if rest:
             t = pa.Table.from_batches(rest).combine_chunks()
-            yield done(*_distinct(t, starts(t)))
+            yield done(t, starts(t))
 
     return run
 
 
-def _distinct(t: pa.Table, at: np.ndarray) -> tuple[pa.Table, np.ndarray]:
-    # Copies of a message stand side by side.
-    msg, time = t.column("msg_id").to_numpy(), t.column("log_time").to_numpy()
-    first = np.ones(len(t), bool)
-    first[1:] = (msg[1:] != msg[:-1]) | (time[1:] != time[:-1])
-    first[at[:-1]] = True
-    if not first.all():
-        at = np.append(np.cumsum(first)[at[:-1]] - 1, first.sum())
-        t = t.filter(pa.array(first)).combine_chunks()
-    return t, at
-
-
 def _bounds(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t.column("lo").fill_null(-np.inf).to_numpy(), t.column("hi").fill_null(np.inf).to_numpy()
 
@@ -333,7 +326,7 @@ def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: i
     """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``, small sources whole and large ones cut: equal segments of about ``segment`` rows, with ``halo`` foreign rows on each side.
 
     Cuts are quantiles of the time of sources larger than two segments, from mergeable sketches over ``every``, which
-    has at least the rows' source and time but need not cost what the rows cost.  Smaller sources stay whole.
+    has the source and time of the same rows.  Smaller sources stay whole.
     """
     keys = ["file_id", "topic"]
     size = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * segment)
@@ -359,11 +352,13 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     """
     n = tasks(readings.sparkSession)
     ok = readings.where(F.col("reading").isNotNull() & ~F.isnan("reading") & F.col("log_time").isNotNull() & F.col("file_id").isNotNull() & F.col("topic").isNotNull() & F.col("msg_id").isNotNull())
-    rows = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading"))
+    # The filter keeps the reading in every branch that reads the messages, so that all share this one exchange.
+    message = ["file_id", "topic", "msg_id", "log_time"]
+    rows = ok.groupBy(*message).agg(F.min(F.col("reading").cast("double")).alias("reading")).where(F.col("reading").isNotNull())
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
     order = ["file_id", "topic", "seg", "log_time", "msg_id"]
     dealt = lambda d: d.repartition(n, *order[:3]).sortWithinPartitions(*order)
-    whole, cut = segmented(rows.join(bounds, "topic", "left"), readings.select("file_id", "topic", "log_time"))
+    whole, cut = segmented(rows.join(bounds, "topic", "left"), rows)
     own = ["scatter", "centre", "limit"]
     known = cut.join(_usuals(cut, dealt(cut)), ["file_id", "topic"], "left").fillna(0.0, ["scatter"])
     parts = whole.select("*", *[F.lit(float("nan")).alias(c) for c in own]).unionByName(known)

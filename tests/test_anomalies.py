@@ -81,6 +81,31 @@ def test_scatter_is_that_of_the_source_however_it_is_cut(spark, monkeypatch):
     assert whole[1]["is_spike"] == [700, 1500]
 
 
+def test_copies_neither_swell_a_segment_nor_fill_the_halo(spark, monkeypatch):
+    x = noise(1200, 10)
+    for k in range(96, 1190, 100):  # a run of ten and a spike around and beside every cut
+        x[k : k + 10] = [50.0 + k / 1000] * 10
+        x[k + 14] += 8.0
+    once = [(1, "/t", i, i * 10, float(v), 0) for i, v in enumerate(x)]
+    many = [r for r in once for _ in range(70 if r[2] % 100 in (0, 1, 99) else 1)] + [once[600]] * 3000
+    lim = spark.createDataFrame([("/t", 0.0, 100.0)], LIMITS)
+    seen = []
+    plain = an.segmented
+
+    def spy(rows, every, segment=100, halo=64):
+        got = plain(rows, every, segment, halo)
+        seen.append(got[1])
+        return got
+
+    monkeypatch.setattr(an, "segmented", spy)
+    kinds = ("msg_id", "is_range", "is_stuck", "is_spike")
+    want = rows(an.flag(spark.createDataFrame(once, SCHEMA), lim).select(*kinds))
+    assert rows(an.flag(spark.createDataFrame(many, SCHEMA), lim).select(*kinds)) == want
+    assert sum(r[2] for r in want) == 110 and sum(r[3] for r in want) == 11
+    sizes = [r["count"] for r in seen[-1].where("own").groupBy("seg").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) < 130
+
+
 def test_segments_are_of_equal_size(spark):
     df = spark.range(1001).selectExpr("1L file_id", "'/t' topic", "id msg_id", "id log_time")
     _, cut = an.segmented(df, df, 250, 8)
