@@ -10,8 +10,11 @@ not by the stream.
 ``sink`` writes both kinds of rows per micro-batch into folders named by the batch, which
 makes a repeated batch overwrite itself; ``current`` reads the latest totals.
 
-Defined cases are those of ``logloom.operators.lateness``; copies of a message are dropped
-if they arrive within ``dedupe_within`` of the first.
+Defined cases are those of ``logloom.operators.lateness``.  Every source is judged by its own
+times only, so sources may be any time apart and arrive in any order.  A source keeps the ids that lie
+within ``dedupe_within`` of its largest arrival time: a copy within it is left out, and a message further
+back, which can no longer be told from a copy, is set apart as ``dropped``.  A source that has ended keeps
+the ids of its last stretch.
 """
 
 from __future__ import annotations
@@ -27,35 +30,44 @@ from logloom.functions.exact import floor_div
 from logloom.session import ship
 
 SECOND = 1_000_000_000
-_STATE = "top bigint, start array<bigint>, first array<bigint>, late array<bigint>, bytes array<bigint>"
+_STATE = "top bigint, start array<bigint>, first array<bigint>, late array<bigint>, bytes array<bigint>, seen bigint, ids array<bigint>, id_at array<bigint>"
 _TOTALS = "kind string, window_start bigint, n_first bigint, n_messages bigint, n_bytes bigint, n_late bigint, msg_id bigint, log_time bigint, publish_time bigint, behind_ns bigint"
 
 
 def stream_windows(messages: DataFrame, source: list[str], window_ns: int = 60 * SECOND, lateness_ns: int = 60 * SECOND, max_ahead_ns: int = 5 * SECOND, dedupe_within: str = "2 hours") -> DataFrame:
     """Rows of ``kind`` ``window`` (new totals of one window), ``dropped`` and ``invalid`` (single messages), with the source columns."""
     ship(messages.sparkSession)
-    rows = messages.where(F.col("msg_id").isNotNull() & F.col("log_time").isNotNull()).select(
-        *source, "msg_id", "log_time", "publish_time", F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("n_bytes"), F.timestamp_micros(floor_div(F.col("log_time"), 1000)).alias("_arrival")
-    )
-    if messages.isStreaming:
-        rows = rows.withWatermark("_arrival", dedupe_within).dropDuplicatesWithinWatermark([*source, "msg_id"])
-    rows = rows.drop("_arrival")
+    within = pd.Timedelta(dedupe_within).value
+    # Nulls travel as flags: pandas would turn the column into doubles, which cannot hold nanoseconds.
+    times = ["msg_id", "log_time", "publish_time"]
+    rows = messages.select(*source, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in times], *[F.col(c).isNull().alias(f"no_{c}") for c in times], F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("n_bytes"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in source)
     names = [x.split()[0] for x in _TOTALS.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, start, first, late, size = state.get if state.exists else (None, [], [], [], [])
+        top, start, first, late, size, seen, ids, id_at = state.get if state.exists else (None, [], [], [], [], None, [], [])
         open_ = {s: [f, n, b] for s, f, n, b in zip(start, first, late, size, strict=True)}
+        known = dict(zip(ids, id_at, strict=True))
         changed: set[int] = set()
         out: list[tuple] = []
         new = pd.concat(list(frames), ignore_index=True).sort_values(["log_time", "msg_id"], kind="stable")
-        for msg, log, pub, nbytes in zip(new["msg_id"], new["log_time"], new["publish_time"], new["n_bytes"], strict=True):
-            pub = None if pd.isna(pub) else int(pub)
+        lost = any(pd.isna(k) for k in key)
+        for msg, log, pub, *no, nbytes in zip(*(new[c].tolist() for c in (*times, *[f"no_{c}" for c in times], "n_bytes")), strict=True):
+            msg, log, pub = (None if n else v for v, n in zip((msg, log, pub), no, strict=True))
+            if lost or msg is None or log is None:
+                out.append(("invalid", None, None, None, None, None, msg, log, pub, None))
+                continue
+            if msg in known:
+                continue
+            old = seen is not None and log < seen - within
+            seen = log if seen is None else max(seen, log)
+            if not old:
+                known[msg] = log
             if not pub or pub > log + max_ahead_ns:
                 out.append(("invalid", None, None, None, None, None, msg, log, pub, None))
                 continue
             behind = max((top or pub) - pub, 0)
-            if behind > lateness_ns:
+            if old or behind > lateness_ns:
                 out.append(("dropped", pub // window_ns * window_ns, None, None, None, None, msg, log, pub, behind))
                 continue
             w = open_.setdefault(pub // window_ns * window_ns, [0, 0, 0])
@@ -67,9 +79,10 @@ def stream_windows(messages: DataFrame, source: list[str], window_ns: int = 60 *
             f, n, b = open_[s]
             out.append(("window", s, f, f + n, b, n, None, None, None, None))
         kept = sorted(s for s in open_ if top is None or s + window_ns > top - lateness_ns)
-        state.update((top, kept, [open_[s][0] for s in kept], [open_[s][1] for s in kept], [open_[s][2] for s in kept]))
+        held = [i for i, at in known.items() if at >= seen - within]
+        state.update((top, kept, [open_[s][0] for s in kept], [open_[s][1] for s in kept], [open_[s][2] for s in kept], seen, held, [known[i] for i in held]))
         if out:
-            got = pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names[1:]})
+            got = pd.DataFrame({c: pd.array(v, dtype="Int64") if c != "kind" else v for c, v in zip(names, map(list, zip(*out, strict=True)), strict=True)})
             for k, c in enumerate(source):
                 got.insert(k, c, key[k])
             yield got

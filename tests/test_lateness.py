@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -82,3 +83,25 @@ def test_stream_equals_batch(spark, tmp_path, pieces):
     assert rows(stream.current(spark, out, ["file_id", "topic"]).select("file_id", "window_start", "n_first", "n_messages", "n_bytes", "n_late")) == want
     apart = rows(spark.read.parquet(f"{out}/apart").where("kind = 'dropped'").select("msg_id"))
     assert apart == rows(batch.where("status = 'dropped'").select("msg_id"))
+
+
+def test_stream_of_sources_days_apart_in_reverse(spark, tmp_path):
+    day = 86_400 * S
+    later, earlier = ([(100 * f + i, f, "/t", at + i * 40 * S + 1, at + (i - 5 * (i % 4 == 3)) * 40 * S + 1, b"ab", 0) for i in range(20)] for f, at in ((1, 20_000 * day), (2, 19_000 * day)))
+    odd = [(None, 2, "/t", 5, 5, None, 0), (7, 2, "/t", None, 5, None, 0), (8, None, "/t", 9, 5, None, 0), (9, 2, "/t", earlier[-1][3], None, None, 0)]
+    pieces = [later, [*earlier, *odd, *earlier[:3]], [*earlier[5:8], (300, 2, "/t", earlier[0][3] - 3 * 3600 * S, earlier[0][3] - 3 * 3600 * S, b"", 0)]]
+    src = tmp_path / "in"
+    for k, piece in enumerate(pieces):
+        spark.createDataFrame(piece, SCHEMA).coalesce(1).write.parquet(str(src / f"p{k}"))
+        for p in (src / f"p{k}").glob("*.parquet"):
+            os.utime(p, (1_000_000 + 100 * k, 1_000_000 + 100 * k))
+    df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
+    out, source = str(tmp_path / "out"), ["file_id", "topic"]
+    stream.sink(stream.stream_windows(df, source), out, str(tmp_path / "ck"), source, availableNow=True).awaitTermination()
+    batch = lateness.classify(spark.createDataFrame([*later, *earlier, *odd], SCHEMA), source)
+    cols = ["file_id", "window_start", "n_first", "n_messages", "n_bytes", "n_late"]
+    assert rows(stream.current(spark, out, source).select(cols)) == rows(lateness.windows(batch, source).where("n_messages > 0").select(cols))
+    cols = ["kind", "file_id", "msg_id", "log_time", "publish_time"]
+    want = batch.withColumnRenamed("status", "kind").where("kind in ('dropped', 'invalid')").select(cols)
+    beyond = ("dropped", 2, 300, pieces[2][-1][3], pieces[2][-1][4])
+    assert rows(spark.read.parquet(f"{out}/apart").select(cols)) == sorted([*rows(want), beyond], key=repr)
