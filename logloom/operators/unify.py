@@ -5,7 +5,7 @@ bears last; ``casts`` gives each such column the narrowest type that holds all i
 types; ``unified`` brings JSON messages of all files into that form.
 
 Defined cases: a field that was removed and came back is the same column; a
-renamed struct carries its fields along; types of different families meet in
+renamed struct carries its fields along, whether they are renamed before or after it; types of different families meet in
 ``String``; values that do not fit their cast, and fields a message lacks, are null;
 messages of files without a schema or version, and those whose value is null or no
 JSON object, have an empty record; repeated rows come out repeated.
@@ -70,18 +70,54 @@ def aliases(changes: DataFrame) -> DataFrame:
     return events.groupBy("producer", "topic").applyInPandas(_chains, "producer string, topic string, path string, since bigint, until bigint, canonical string")
 
 
+def _within(path: str, old: str) -> bool:
+    return path.startswith(old) and path[len(old) : len(old) + 1] in ("", ".", "[", "{")
+
+
+def _names(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """Spans of versions in which a path is last called otherwise.
+
+    Renames are replayed version by version along the whole path: each replaces the path or the part of it that leads
+    through the renamed struct, unless the field or a struct around it came anew since.
+    """
+    out: list[tuple] = []
+    ev = events.sort_values("seq")
+    came = [(int(q), p) for q, p in zip(ev["seq"], ev["field_path"], strict=True)]
+    renames: dict[int, list[tuple[str, str, int]]] = {}
+    for q, old, new in ev.loc[ev["change"] == "renamed", ["seq", "old_path", "field_path"]].itertuples(index=False):
+        since = max([s for s, p in came if s < q and _within(old, p)], default=1)
+        renames.setdefault(int(q), []).append((old, new, since))
+    starts = sorted({1, *(q for q, _ in came)})
+    last = max(renames, default=0)
+    for node in nodes["node"]:
+        spans: list[list] = []
+        for v, after in zip(starts, [*starts[1:], last], strict=True):
+            if v >= last:
+                break
+            path, at = node, v
+            for q in (q for q in renames if q > v):
+                hit = max(((old, new) for old, new, since in renames[q] if since <= at and _within(path, old)), key=lambda r: len(r[0]), default=None)
+                if hit:
+                    path, at = hit[1] + path[len(hit[0]) :], q
+            if path != node:
+                if spans and spans[-1][1] == v - 1 and spans[-1][2] == path:
+                    spans[-1][1] = after - 1
+                else:
+                    spans.append([v, after - 1, path])
+        out += [(nodes["producer"].iloc[0], nodes["topic"].iloc[0], node, *x) for x in spans]
+    return pd.DataFrame(out, columns=["producer", "topic", "node", "since", "until", "canonical"])
+
+
 def columns(files: DataFrame, schemas: DataFrame) -> DataFrame:
     """``(producer, topic, file_id, path, canonical, type, cast)``: each field of each file with its column and common type."""
     vers = lifespan.versions(files, schemas)
     fields = explode_fields(vers, "field_defs", ["producer", "topic", "seq", "file_id"]).where(~F.col("type").rlike(r"^Struct\b"))
-    al = aliases(lifespan.changes(files, schemas)).withColumnRenamed("path", "a_path")
-    # A field is renamed itself or with one of the structs around it; the innermost alias counts.
-    around = fields.select("producer", "topic", "seq", "file_id", "node", "type", F.explode(F.concat(F.col("above"), F.array("node"))).alias("a_path"))
-    on = ["producer", "topic", "a_path"]
-    hit = around.join(al, on, "left").withColumn("fits", F.col("seq").between(F.col("since"), F.col("until")))
-    depth = F.when(F.coalesce("fits", F.lit(False)), F.length("a_path")).otherwise(-1)
-    one = hit.groupBy("producer", "topic", "file_id", "node", "type").agg(F.max(F.struct(depth.alias("depth"), F.when(F.col("fits"), F.col("canonical")).alias("name"))).alias("best"))
-    named = one.withColumn("canonical", F.when(F.col("best.depth") > 0, F.concat(F.col("best.name"), F.expr("substring(node, best.depth + 1)"))).otherwise(F.col("node")))
+    on = ["producer", "topic"]
+    events = lifespan.changes(files, schemas).where(F.col("change").isin("added", "renamed")).select(*on, "seq", "change", "field_path", "old_path")
+    nodes = fields.select(*on, "node").distinct()
+    names = nodes.groupBy(*on).cogroup(events.groupBy(*on)).applyInPandas(_names, "producer string, topic string, node string, since bigint, until bigint, canonical string")
+    span = [F.col(f"f.{c}") == F.col(f"n.{c}") for c in (*on, "node")] + [F.col("f.seq").between(F.col("n.since"), F.col("n.until"))]
+    named = fields.alias("f").join(names.alias("n"), span, "left").select("f.producer", "f.topic", "f.file_id", "f.node", "f.type", F.coalesce("n.canonical", "f.node").alias("canonical")).distinct()
 
     @F.pandas_udf("string")
     def common(types: pd.Series) -> pd.Series:

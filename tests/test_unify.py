@@ -43,3 +43,11 @@ def test_unified_messages(spark):
     got = {r.msg_id: r.record for r in unify.unified(msgs, unify.columns(files, schemas)).collect()}
     assert got == {1: {"a": "7", "q.x": "1.5", "l": "[1, 2]"}, 2: {"b": "2.5", "q.x": None, "l": None}, 3: {}, 4: {}, 5: {}}
     assert unify.unified(msgs.limit(0), unify.columns(files, schemas)).collect() == []
+
+
+@pytest.mark.parametrize("between", [("device", "y"), ("raw", "x")])
+def test_renames_of_a_field_and_of_the_struct_around_it(spark, between):
+    one = lambda top, leaf, kind: s((top, struct((leaf, kind), ("z", "Bool"))), ("k", "I8"))
+    files, schemas = tables(spark, [one("device", "x", "F32"), one(*between, "F32"), one("raw", "y", "F32"), one("raw", "y", "F64")])
+    got = {(r.canonical, r.cast) for r in unify.columns(files, schemas).collect()}
+    assert got == {("raw.y", "F64"), ("raw.z", "Bool"), ("k", "I8")}
