@@ -157,7 +157,7 @@ def scan_many_files(spark: SparkSession, sf: str) -> DataFrame:
     """Planning and decoding as Spark jobs over a table of files."""
     folder = written(spark, sf, "customer", "ros2idl")
     files = spark.createDataFrame([(f"{folder}/{n}",) for n in sorted(os.listdir(folder)) if n.endswith(".mcap")], "path string")
-    df = scan_topic(files, "/customer", CUSTOMER)
+    df = scan_topic(files, "/customer", CUSTOMER, unreadable="fail")
     return df.select("custkey", "name", "nation", "balance", F.size("history").alias("n_history"), F.aggregate("history", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

@@ -27,7 +27,10 @@ CHUNKS = "path string, topic string, channel int, schema_name string, schema_enc
 
 
 def chunks(files: DataFrame, path: str = "path") -> DataFrame:
-    """One row per file, topic and chunk that indexes it; a file that cannot be read gives one row with ``error``."""
+    """One row per file, topic and chunk that indexes it; a file that is absent or no container gives one row with ``error``.
+
+    Other I/O errors fail the task, so that it is retried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,7 +45,7 @@ def chunks(files: DataFrame, path: str = "path") -> DataFrame:
                                 continue
                             schema = s.schemas.get(channel.schema_id)
                             rows.append({"path": p, "topic": channel.topic, "channel": ch, "schema_name": schema and schema.name, "schema_encoding": schema.encoding if schema else "", "message_encoding": channel.message_encoding, "schema_data": schema and schema.data, "chunk": k, "offset": x.offset, "length": x.length, "compressed_size": x.compressed_size, "start": x.start, "end": x.end})
-                except (LogError, OSError, pa.ArrowInvalid) as e:
+                except (LogError, FileNotFoundError, pa.ArrowInvalid) as e:
                     rows.append({"path": p, "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, _CHUNKS)
 
@@ -55,17 +58,22 @@ _CHUNKS = pa.schema(
 )
 
 
-def scan_topic(files: DataFrame, topic: str, fields: tuple[Field, ...], start: int | None = None, end: int | None = None, registry: Registry | None = None, meta: Metadata = Metadata(), partitions: int | None = None) -> DataFrame:
+def scan_topic(files: DataFrame, topic: str, fields: tuple[Field, ...], start: int | None = None, end: int | None = None, registry: Registry | None = None, meta: Metadata = Metadata(), partitions: int | None = None, unreadable: str = "skip") -> DataFrame:
     """All messages of ``topic`` in all files, with ``path``; ``fields`` is the table's schema.
 
     A file whose own schema lacks a field gives null there; one whose field has another type fails the read.
+    A file that is absent or no container fails the read with ``unreadable="fail"``; with ``"skip"`` it is left out,
+    and ``skipped`` tells which those are.
     """
+    if unreadable not in ("skip", "fail"):
+        raise ValueError(f"unreadable is 'skip' or 'fail', not {unreadable!r}")
     registry = registry or Registry.default()
-    plan = chunks(files).where((F.col("topic") == topic) & F.col("error").isNull())
+    wanted = F.col("topic") == topic
     if start is not None:
-        plan = plan.where(F.col("end") >= start)
+        wanted = wanted & (F.col("end") >= start)
     if end is not None:
-        plan = plan.where(F.col("start") < end)
+        wanted = wanted & (F.col("start") < end)
+    plan = chunks(files).where(F.col("error").isNotNull() | wanted if unreadable == "fail" else F.col("error").isNull() & wanted)
     n = partitions or max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plan = plan.repartition(n, "path", "chunk")
     body = meta.spark(tuple(Field(f.name, ir.Element(f.element.type, True)) for f in fields))
@@ -75,6 +83,8 @@ def scan_topic(files: DataFrame, topic: str, fields: tuple[Field, ...], start: i
         made: dict[tuple, object] = {}
         for b in batches:
             for r in b.to_pylist():
+                if r["error"]:
+                    raise LogError(f"{r['path']}: {r['error']}")
                 key = (r["schema_name"], r["schema_encoding"], r["message_encoding"], r["schema_data"])
                 if key not in made:
                     made[key] = registry.find(key[1], key[2]).topic(key[0], key[3])
@@ -90,6 +100,11 @@ def scan_topic(files: DataFrame, topic: str, fields: tuple[Field, ...], start: i
     return got.select("path", *[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in body.fields])
 
 
+def skipped(files: DataFrame) -> DataFrame:
+    """``(path, error)`` of the files that ``scan_topic`` leaves out."""
+    return chunks(files).where(F.col("error").isNotNull()).select("path", "error")
+
+
 class _OneByOne(TopicDecoder):
     def __init__(self, inner: TopicDecoder) -> None:
         self.inner, self.fields = inner, inner.fields
@@ -98,4 +113,4 @@ class _OneByOne(TopicDecoder):
         return self.inner.decode(data)
 
 
-__all__ = ["MessageDecoder", "chunks", "scan_topic"]
+__all__ = ["MessageDecoder", "chunks", "scan_topic", "skipped"]

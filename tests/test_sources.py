@@ -11,7 +11,7 @@ from logloom.ir import field
 from logloom.sources import container as c
 from logloom.sources import mcap
 from logloom.sources.reader import LogReader, ReadOptions
-from logloom.sources.scan import chunks, scan_topic
+from logloom.sources.scan import chunks, scan_topic, skipped
 from logloom.testkit import models
 from logloom.testkit.mcap_writer import McapWriter
 
@@ -261,3 +261,15 @@ def test_names_that_differ_in_case_only(spark, tmp_path):
     mcap.register(spark)
     df = spark.read.format("mcap").option("topic", "/c").load(p)
     assert rows(df.select("a", "A")) == [(1, 2)]
+
+
+def test_scan_reports_unreadable_files_and_lets_io_errors_through(spark, tmp_path):
+    good, bad = write(tmp_path / "g.mcap", 3), str(tmp_path / "bad.mcap")
+    open(bad, "wb").write(b"no container")
+    files = spark.createDataFrame([(good,), (bad,)], "path string")
+    scan = lambda f, **kw: scan_topic(f, "/decoded", VALUE.fields, 0, 99, Registry().register(VALUE), **kw)
+    assert scan(files).count() == 3 and [r.path for r in skipped(files).collect()] == [bad]
+    with pytest.raises(Exception, match="bad.mcap"):
+        scan(files, unreadable="fail").collect()
+    with pytest.raises(Exception, match="OSError|IsADirectory"):  # no absent file and no broken container: to be retried
+        chunks(spark.createDataFrame([(str(tmp_path),)], "path string")).collect()
