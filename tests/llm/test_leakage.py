@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,7 +66,7 @@ def test_simhash_is_the_bitwise_majority(width):
     assert len(lk.simhashes(h[: width - 1], width)) == 0
 
 
-def test_blocks_miss_nothing_within_the_radius():
+def test_blocks_miss_nothing_within_the_radius(monkeypatch):
     rng = np.random.default_rng(1)
     text = " ".join(WORDS[i % 400] for i in rng.integers(0, 400, 200))
     index = lk.build_index([(1, text)], 20, 0.1, 3)
@@ -72,8 +74,11 @@ def test_blocks_miss_nothing_within_the_radius():
     near = index.prints.copy()
     for k in range(3):
         near ^= np.uint64(1) << flips[:, k].astype(np.uint64)
-    pos, item = lk.hits(near, index)
-    assert set(range(len(near))) == {int(p) for p, i in zip(pos, item, strict=True) if p == i}
+    found = [(int(p), int(i)) for pos, item in lk.hits(near, index) for p, i in zip(pos, item, strict=True)]
+    assert set(range(len(near))) == {p for p, i in found if p == i}
+    parts = lk.PAIRS
+    monkeypatch.setattr(lk, "PAIRS", 7)
+    assert {(int(p), int(i)) for pos, item in lk.hits(near, index) for p, i in zip(pos, item, strict=True)} == set(found) and parts > 7
 
 
 def test_seed_words():
@@ -108,8 +113,8 @@ def test_edges(spark, monkeypatch):
     item = " ".join(WORDS[:30])
     it = spark.createDataFrame([(1, item), (1, item), (2, "too short"), (3, None), (None, item)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, item), (3, item), (None, "é " + item), (5, "ééé " * 50)], "doc_id bigint, text string")
-    got = sorted(((r.doc_id, r.item_id, r.words, r.edits, r.similarity) for r in lk.leaked(docs, it).collect()), key=repr)
-    assert got == [(3, 1, 30, 0, 1.0), (None, 1, 30, 0, 1.0)]
+    got = sorted(((r.doc_id, r.item_id, r.words, r.similarity) for r in lk.leaked(docs, it).collect()), key=repr)
+    assert got == [(3, 1, 30, 1.0), (None, 1, 30, 1.0)]
     assert lk.leaked(docs.limit(0), it).collect() == [] == lk.leaked(docs, it.limit(0)).collect()
 
 
@@ -121,12 +126,46 @@ def test_long_texts_in_pieces_and_items_in_blocks(spark, monkeypatch):
     args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     monkeypatch.setattr(lk, "MAX_WINDOWS", 100)
     assert sorted((r.doc_id, r.item_id) for r in lk.leaked(*args).collect()) == [(k, k) for k in range(5)]
-    import pyarrow as pa
-
     monkeypatch.setattr(lk, "CHUNK", 2000)
-    monkeypatch.setattr(lk, "PIECE", 5000)
-    monkeypatch.setattr(lk, "OVERLAP", 1000)
+    monkeypatch.setattr(lk, "WORDS", 700)
+    assert search(items, docs) == {(k, k): 30 for k in range(5)}
+
+
+def search(items, docs):
     index = lk.build_index(items, 20, 0.1, 3)
     batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})
-    found = {(r["doc_id"], r["item_id"]) for b in lk._search(index, 20, 0.1)(iter([batch])) for r in b.to_pylist()}
-    assert found == {(k, k) for k in range(5)}
+    return {(r["doc_id"], r["item_id"]): r["words"] for b in lk._search(index, 20, 0.1)(iter([batch])) for r in b.to_pylist()}
+
+
+def test_whatever_stands_between_the_words():
+    """A passage in a text of 4 MB, its halves 300 KB of blanks apart, at the real constants."""
+    part = WORDS[:20]
+    text = "x " * 1_950_000 + " ".join(part[:10]) + " " * 300_000 + " ".join(part[10:]) + " y" * 50_000
+    assert len(text) > 4 << 20
+    assert search([(1, " ".join(part))], [(7, text)]) == {(7, 1): 20}
+    one = "q" * (3 << 20)  # a single word beyond every piece
+    assert search([(1, " ".join(part))], [(7, one + " " + " ".join(part) + " " + one)]) == {(7, 1): 20}
+
+
+def test_items_of_any_length_are_reported_whole():
+    rng = random.Random(3)
+    body = [f"t{rng.randrange(10**6)}" for _ in range(40_000)]
+    began = time.process_time()
+    assert search([(1, " ".join(body))], [(2, " ".join(body))]) == {(2, 1): 40_000}
+    part = body[:10_000]
+    for k in range(15, 10_000, 40):
+        part[k] = "zz"
+    assert search([(1, " ".join(body[:10_000]))], [(2, " ".join(part))])[2, 1] > 9_900
+    assert time.process_time() - began < 20
+    assert search([(1, " ".join(body[:60]))], [(2, " ".join(body[:60] * 300))]) == {(2, 1): 60}
+
+
+def test_no_admissible_stretch_fails_the_shingle_test():
+    """Any stretch the rule admits has a window whose matched weight reaches the floor."""
+    rng = random.Random(9)
+    for _ in range(300):
+        item = [rng.choice(WORDS[: rng.choice([5, 400])]) for _ in range(45)]
+        n = rng.choice([20, 25, 30, 35, 40])
+        body = [rng.choice(WORDS) for _ in range(5)] + planted(rng, item, n, rng.randrange(int(n * 0.1) + 1)) + [rng.choice(WORDS) for _ in range(5)]
+        got = search([(1, " ".join(item)), (2, " ".join(rng.choice(WORDS) for _ in range(30)))], [(1, " ".join(body))])
+        assert ((1, 1) in got) == brute(body, item), (item, body)
