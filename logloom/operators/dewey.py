@@ -261,7 +261,8 @@ NODES = T.StructType(
 _NODES_ARROW = pa.list_(pa.struct([("dewey", pa.list_(pa.int32())), ("node", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("pos", pa.int32()), ("type", pa.string()), ("above", pa.list_(pa.string())), ("nullable", pa.bool_())]))
 
 
-def _parse(text: str | None) -> list[dict] | None:
+def parse_fields(text: str | None) -> list[dict] | None:
+    """The nodes of a text of field definitions, as ``NODES``; None where it is null, empty or malformed."""
     try:
         defs = json.loads(text) if text else None
     except ValueError:
@@ -285,7 +286,7 @@ def explode_fields(df: DataFrame, defs: str, keep: list[str], more: Column | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.num_columns - 1).dictionary_encode()
-            parsed = [_parse(t) for t in texts.dictionary.to_pylist()]
+            parsed = [parse_fields(t) for t in texts.dictionary.to_pylist()]
             nodes = pa.array([None if i is None else parsed[i] for i in texts.indices.to_pylist()], _NODES_ARROW)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], nodes], [*[f.name for f in fields], "_nodes"])
 

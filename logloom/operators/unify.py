@@ -2,28 +2,24 @@
 
 ``aliases`` follows renames forward, so every field of every file has the name it
 bears last; ``casts`` gives each such column the narrowest type that holds all its
-types; ``unified`` brings JSON messages of all files into that form.
+types; ``unified`` brings JSON messages of all files into one table of typed columns.
 
 Defined cases: a field that was removed and came back is the same column; a
 renamed struct carries its fields along, whether they are renamed before or after it; types of different families meet in
 ``String``; values that do not fit their cast, and fields a message lacks, are null;
 messages of files without a schema or version, and those whose value is null or no
-JSON object, have an empty record; repeated rows come out repeated.
+JSON object, have null in every column; repeated rows come out repeated.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from logloom import ir
 from logloom.operators import lifespan
-from logloom.operators.dewey import explode_fields
-from logloom.session import tasks
 
 _INTEGERS = ("I8", "U8", "I16", "U16", "I32", "U32", "I64", "U64")
 
@@ -111,7 +107,8 @@ def _names(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
 def columns(files: DataFrame, schemas: DataFrame) -> DataFrame:
     """``(producer, topic, file_id, path, canonical, type, cast)``: each field of each file with its column and common type."""
     vers = lifespan.versions(files, schemas)
-    fields = explode_fields(vers, "field_defs", ["producer", "topic", "seq", "file_id"]).where(~F.col("type").rlike(r"^Struct\b"))
+    defs = lifespan.definitions(schemas)
+    fields = vers.join(defs.select("digest", "nodes"), "digest").select(*[F.col(c).alias(c) for c in ("producer", "topic", "seq", "file_id")], F.inline("nodes")).where(~F.col("type").rlike(r"^Struct\b"))
     on = ["producer", "topic"]
     events = lifespan.changes(files, schemas).where(F.col("change").isin("added", "renamed")).select(*on, "seq", "change", "field_path", "old_path")
     nodes = fields.select(*on, "node").distinct()
@@ -127,52 +124,79 @@ def columns(files: DataFrame, schemas: DataFrame) -> DataFrame:
     return named.join(kinds, ["topic", "canonical"]).select("producer", "topic", "file_id", F.col("node").alias("path"), "canonical", "type", "cast")
 
 
-def _at(v: object, path: list[str]) -> object:
-    for p in path:
-        if not isinstance(v, dict):
-            return None
-        v = v.get(p)
-    return v
+def spark_type_of(cast: str) -> T.DataType:
+    """Type of a column cast to a schema type; lists, maps and whatever has no plain type stay JSON text."""
+    return ir.spark_type(ir.Type(cast)) if cast in (*_INTEGERS, "F32", "F64", "Bool") else T.StringType()
+
+
+def _tree(paths: list[str]) -> dict:
+    """Names below names; a path that is a field in one file and a struct in another is a leaf with what follows read from its text."""
+    out: dict = {}
+    for p in sorted(paths):
+        at = out
+        for name in p.split("."):
+            at = at.setdefault(name, {})
+    return out
+
+
+def _shape(tree: dict, leaves: set[str], path: str = "") -> tuple[T.StructType, T.StructType]:
+    """(as read from JSON, under unique names), since names may differ by case only."""
+    read, named = [], []
+    for k, (name, below) in enumerate(tree.items()):
+        here = f"{path}.{name}" if path else name
+        a = b = T.StringType()
+        if below and here not in leaves:
+            a, b = _shape(below, leaves, here)
+        read.append(T.StructField(name, a))
+        named.append(T.StructField(f"c{k}", b))
+    return T.StructType(read), T.StructType(named)
 
 
-def _cast(v: object, cast: str) -> str | None:
-    if v is None:
-        return None
-    kind = cast.split("<", 1)[0]
-    try:
-        if kind in _INTEGERS:
-            return str(int(v))
-        if kind in ("F32", "F64"):
-            return repr(float(v))
-        if kind == "Bool":
-            return "true" if v is True or v == "true" else "false" if v is False or v == "false" else None
-    except (ValueError, TypeError, OverflowError):
-        return None
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+def _leaf(record: Column, tree: dict, leaves: set[str], path: str) -> Column:
+    names, here = path.split("."), ""
+    for k, name in enumerate(names):
+        here = f"{here}.{name}" if here else name
+        record = record.getField(f"c{list(tree).index(name)}")
+        if here in leaves and k + 1 < len(names):
+            return F.get_json_object(record, "$" + "".join(f"['{n}']" for n in names[k + 1 :]))
+        tree = tree[name]
+    return record
 
 
 def unified(messages: DataFrame, cols: DataFrame, value: str = "value") -> DataFrame:
-    """``(msg_id, file_id, topic, log_time, record)``: ``record`` has every column of the message's file under its last name, cast to the common type.
+    """``(msg_id, file_id, topic, log_time, ...)``: one typed column per field of any file, under its last name.
 
-    Fields inside lists and maps stay in the JSON text of theirs.
+    The JSON is read once with every path that any file has; a column takes the path that the message's file uses for it,
+    cast to the common type.  Fields inside lists and maps stay in the JSON text of theirs.  What comes to the driver are the
+    distinct fields of all schemas, not files or messages.  Of names that differ by case only, later ones get a ``~`` and a number.
     """
     top = cols.where(~F.col("path").rlike(r"\[\]|\{\}"))
-    plan = top.groupBy("file_id", "topic").agg(F.to_json(F.sort_array(F.collect_set(F.struct("path", "canonical", "cast")))).alias("_plan"))
-    src = messages.select("msg_id", "file_id", "topic", "log_time", F.col(f"`{value}`").alias("_value")).join(plan, ["file_id", "topic"], "left")
-    out = "msg_id bigint, file_id bigint, topic string, log_time bigint, record map<string, string>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str, list] = {}
-        for b in batches:
-            records = []
-            for text, p in zip(b.column("_value").to_pylist(), b.column("_plan").to_pylist(), strict=True):
-                if p not in plans:
-                    plans[p] = [(x["path"].split("."), x["canonical"], x["cast"]) for x in json.loads(p)] if p else []
-                try:
-                    v = json.loads(text) if text else None
-                except ValueError:
-                    v = None
-                records.append([(name, _cast(_at(v, path), cast)) for path, name, cast in plans[p]] if isinstance(v, dict) else [])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("msg_id", "file_id", "topic", "log_time")], pa.array(records, pa.map_(pa.string(), pa.string()))], ["msg_id", "file_id", "topic", "log_time", "record"])
-
-    return src.repartition(tasks(messages.sparkSession), "msg_id").mapInArrow(run, out)
+    pairs = sorted((r.canonical, r.path, r.cast) for r in top.select("canonical", "path", "cast").distinct().collect())
+    by: dict[str, dict[str, int]] = {}
+    casts: dict[str, set[str]] = {}
+    for canonical, path, cast in pairs:
+        paths = by.setdefault(canonical, {})
+        paths.setdefault(path, 0)
+        casts.setdefault(canonical, set()).add(cast)
+    number = {(c, p): k for k, (c, p) in enumerate((c, p) for c in by for p in by[c])}
+    base = messages.select("msg_id", "file_id", "topic", "log_time", F.col(f"`{value}`").alias("_value"))
+    if not number:
+        return base.drop("_value")
+    table = F.create_map(*[x for (c, p), k in number.items() for x in (F.lit(f"{c}\n{p}"), F.lit(k))])
+    plan = top.groupBy("file_id", "topic").agg(F.collect_set(table[F.concat_ws("\n", "canonical", "path")]).alias("_on"))
+    leaves = {p for _, p in number}
+    tree = _tree(sorted(leaves))
+    read, named = _shape(tree, leaves)
+    src = base.join(plan, ["file_id", "topic"], "left").withColumn("_record", F.from_json("_value", read).cast(named))
+    out, seen = [], {"msg_id", "file_id", "topic", "log_time"}
+    for canonical in by:
+        kind = spark_type_of(common_type(sorted(casts[canonical])))
+        got = [F.when(F.array_contains("_on", number[canonical, p]), _leaf(F.col("_record"), tree, leaves, p)) for p in by[canonical]]
+        name, k = canonical, 1
+        while name.lower() in seen:
+            k += 1
+            name = f"{canonical}~{k}"
+        seen.add(name.lower())
+        text = F.coalesce(*got)
+        out.append((text if isinstance(kind, T.StringType) else text.try_cast(kind)).alias(name))
+    return src.select("msg_id", "file_id", "topic", "log_time", *out)

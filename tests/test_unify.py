@@ -40,9 +40,20 @@ def test_unified_messages(spark):
     files, schemas = tables(spark, [s(("a", "I8"), ("p", struct(("x", "F32"))), ("l", {"data_type": "List", "item": "I8"})), s(("b", "F64"), ("q", struct(("x", "F32"))), ("l", {"data_type": "List", "item": "I8"}))])
     schemas = schemas.union(spark.createDataFrame([(9, 99, "/t", "n", "e", s(("a", "I8")))], schemas.schema))
     msgs = spark.createDataFrame([(1, 0, "/t", 5, '{"a": "7", "p": {"x": 1.5}, "l": [1, 2]}'), (2, 1, "/t", 6, '{"b": 2.5, "q": null}'), (3, 1, "/t", 7, "{bad"), (4, 1, "/t", 8, None), (5, 42, "/t", 9, '{"a": 1}')], "msg_id bigint, file_id bigint, topic string, log_time bigint, value string")
-    got = {r.msg_id: r.record for r in unify.unified(msgs, unify.columns(files, schemas)).collect()}
-    assert got == {1: {"a": "7", "q.x": "1.5", "l": "[1, 2]"}, 2: {"b": "2.5", "q.x": None, "l": None}, 3: {}, 4: {}, 5: {}}
+    df = unify.unified(msgs, unify.columns(files, schemas))
+    assert dict(df.dtypes) == {"msg_id": "bigint", "file_id": "bigint", "topic": "string", "log_time": "bigint", "a": "tinyint", "b": "double", "l": "string", "q.x": "float"}
+    got = {r.msg_id: (r["a"], r["b"], r["q.x"], r["l"]) for r in df.collect()}
+    none = (None,) * 4
+    assert got == {1: (7, None, 1.5, "[1, 2]"), 2: (None, 2.5, None, None), 3: none, 4: none, 5: none}
     assert unify.unified(msgs.limit(0), unify.columns(files, schemas)).collect() == []
+    assert unify.unified(msgs, unify.columns(files, schemas.limit(0))).columns == ["msg_id", "file_id", "topic", "log_time"]
+
+
+def test_names_that_differ_by_case_and_leaves_that_become_structs(spark):
+    files, schemas = tables(spark, [s(("a", "I8"), ("A", "String"), ("p", "F64")), s(("a", "I8"), ("A", "String"), ("p", struct(("x", "I32"))))])
+    msgs = spark.createDataFrame([(1, 0, "/t", 5, '{"a": 1, "A": "z", "p": 2.5}'), (2, 1, "/t", 6, '{"a": 300, "A": "y", "p": {"x": 8}}'), (3, 1, "/t", 6, '{"a": "no", "p": {"x": 1.5}}')], "msg_id bigint, file_id bigint, topic string, log_time bigint, value string")
+    got = {r.msg_id: tuple(r[4:]) for r in unify.unified(msgs, unify.columns(files, schemas)).select("msg_id", "file_id", "topic", "log_time", "`A`", "`a~2`", "p", "`p.x`").collect()}
+    assert got == {1: ("z", 1, 2.5, None), 2: ("y", None, None, 8), 3: (None, None, None, None)}
 
 
 @pytest.mark.parametrize("between", [("device", "y"), ("raw", "x")])
