@@ -146,10 +146,11 @@ def changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
     ``(producer, topic, seq, file_id, change, field_path, old_path, old_type, new_type)``;
     ``seq`` and ``file_id`` are those of the later file.  Below a reported field nothing is reported.
     """
-    return _changes(versions(files, schemas), definitions(schemas))
+    return changes_of(versions(files, schemas), definitions(schemas))
 
 
-def _changes(vers: DataFrame, defs: DataFrame) -> DataFrame:
+def changes_of(vers: DataFrame, defs: DataFrame) -> DataFrame:
+    """``changes`` from ``versions`` and ``definitions``."""
     edges = lifespans(vers.where("fresh"), defs)
     cols = ["producer", "topic", "node", "parent", "pos", "type", "above"]
     # An ending is told by the run after it.

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from logloom import ir
 from logloom.operators import lifespan
+from logloom.session import checkpointed
 
 _INTEGERS = ("I8", "U8", "I16", "U16", "I32", "U32", "I64", "U64")
 
@@ -106,11 +107,12 @@ def _names(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
 
 def columns(files: DataFrame, schemas: DataFrame) -> DataFrame:
     """``(producer, topic, file_id, path, canonical, type, cast)``: each field of each file with its column and common type."""
-    vers = lifespan.versions(files, schemas)
+    # One compact row per schema, used for its fields and for the changes.
+    vers = checkpointed(lifespan.versions(files, schemas))
     defs = lifespan.definitions(schemas)
     fields = vers.join(defs.select("digest", "nodes"), "digest").select(*[F.col(c).alias(c) for c in ("producer", "topic", "seq", "file_id")], F.inline("nodes")).where(~F.col("type").rlike(r"^Struct\b"))
     on = ["producer", "topic"]
-    events = lifespan.changes(files, schemas).where(F.col("change").isin("added", "renamed")).select(*on, "seq", "change", "field_path", "old_path")
+    events = lifespan.changes_of(vers, defs).where(F.col("change").isin("added", "renamed")).select(*on, "seq", "change", "field_path", "old_path")
     nodes = fields.select(*on, "node").distinct()
     names = nodes.groupBy(*on).cogroup(events.groupBy(*on)).applyInPandas(_names, "producer string, topic string, node string, since bigint, until bigint, canonical string")
     span = [F.col(f"f.{c}") == F.col(f"n.{c}") for c in (*on, "node")] + [F.col("f.seq").between(F.col("n.since"), F.col("n.until"))]
@@ -170,7 +172,8 @@ def unified(messages: DataFrame, cols: DataFrame, value: str = "value") -> DataF
     cast to the common type.  Fields inside lists and maps stay in the JSON text of theirs.  What comes to the driver are the
     distinct fields of all schemas, not files or messages.  Of names that differ by case only, later ones get a ``~`` and a number.
     """
-    top = cols.where(~F.col("path").rlike(r"\[\]|\{\}"))
+    # The columns of the messages' topics, once: they name the result's columns and say which path a file uses.
+    top = checkpointed(cols.where(~F.col("path").rlike(r"\[\]|\{\}")).join(messages.select("topic").distinct(), "topic", "left_semi"))
     pairs = sorted((r.canonical, r.path, r.cast) for r in top.select("canonical", "path", "cast").distinct().collect())
     by: dict[str, dict[str, int]] = {}
     casts: dict[str, set[str]] = {}
