@@ -95,6 +95,13 @@ def test_held_out_periods_are_filled_better_than_by_a_line(spark):
             assert (stat["spectrum"] <= stat["line"]).all(), (kind, stat)
 
 
+def test_one_scan(spark, sf):
+    text = g.regular_grid(readings.with_reading(spark.read.parquet(f"{sf}/decoded_messages.parquet")))
+    text.collect()
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_long_gaps_across_segments(spark):
     far = 3 * g.SEGMENT + 17
     df = spark.createDataFrame([(1, "/t", 1, 0, 1.0), (1, "/t", 2, 10 * S * far, 4.0)], SCHEMA)
