@@ -7,13 +7,14 @@ else is split.  Then, per capacity:
 1. every task packs a bounded group of items best-fit decreasing;
 2. bins that are nearly full are emitted, the underfull ones become items of
    their own and go to the next round;
-3. rounds merge the groups like a tree: the residue is dealt into as many groups
-   as it then needs, until one group is left or a round no longer fills anything;
-   the bins of that round are final.
+3. rounds merge the groups like a tree: the residue of each budget is dealt into as
+   many groups as it then needs, until it is one group, whose bins are final, or a
+   round leaves it as it was: then every group's bins are of sizes that do not
+   fit together, and they are final too.  Budgets end one by one, each by its own residue.
 
-A group holds about ``GROUP`` items whatever the corpus size.  Each round is
-written to the shared checkpoint folder, so later rounds do not repeat earlier
-ones and a lost executor loses none.
+A group holds about ``GROUP`` items whatever the corpus size.  Every round but a budget's last makes its residue
+smaller, so the rounds end.  Each round is written to the shared checkpoint folder, so later rounds do not repeat
+earlier ones and a lost executor loses none.
 
 Defined cases: null texts are no items; empty texts have 0 tokens and take no
 room, but are placed like any other; documents with equal ids are packed as they
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from logloom.session import checkpointed, spread, tasks
 
-#: Items packed together, share of a container from which it is emitted before the last round, and rounds at most.
-GROUP, NEARLY, ROUNDS = 20_000, 0.995, 6
+#: Items packed together, share of a container from which it is emitted before the last round.
+GROUP, NEARLY = 20_000, 0.995
+#: A round that leaves more than this share of a budget's bins is not worth another: merging has stopped to fill them.
+STALL = 0.9
 #: The pattern that the byte-level vocabularies are defined with (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -85,7 +88,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(items: DataFrame, budgets: DataFrame, group: int = GROUP, nearly: float = NEARLY, max_rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, budgets: DataFrame, group: int = GROUP, nearly: float = NEARLY) -> DataFrame:
     """Containers for each budget: ``(budget_id, container, used, capacity, doc_id, piece, start, tokens)``, one row per placed piece.
 
     ``items`` has ``doc_id, tokens``, ``budgets`` has ``budget_id, capacity_tokens``.  ``start`` is the piece's first
@@ -113,22 +116,24 @@ def pack(items: DataFrame, budgets: DataFrame, group: int = GROUP, nearly: float
         cut.select("budget_id", F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("."), F.col("piece"), F.lit("."), F.monotonically_increasing_id()).alias("container"), F.col("capacity").alias("used"), "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
     ]
     left = each.where((rest > 0) | (F.col("tokens") == 0)).select("budget_id", "capacity", rest.alias("size"), F.array(F.struct(F.col("doc_id"), full.cast("int").alias("piece"), (full * F.col("capacity")).alias("start"), rest.alias("tokens"))).cast(f"array<{part}>").alias("parts"))
-    depth, before = 0, None
     schema = f"budget_id bigint, capacity bigint, size bigint, parts array<{part}>, container string"
-    count = n
-    while True:
-        groups = max(1, -(-count // group))
-        # One group is the root of the tree.  Where a round could not fill its bins, merging further would not either: its bins stand.
-        last = groups == 1 or depth == max_rounds - 1 or (before is not None and count > 0.8 * before)
-        packed = left.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-        exchange = min(groups * len(caps), max(tasks(spark), 4 * spark.sparkContext.defaultParallelism, groups))
+    counts = {b: n for b in caps}
+    depth, final = 0, set()
+    while counts:
+        groups = {b: max(1, -(-c // group)) for b, c in counts.items()}
+        # One group is the root of a budget's tree.
+        last = {b for b, g in groups.items() if g == 1} | final
+        number = F.create_map(*[F.lit(x).cast("bigint") for kv in groups.items() for x in kv])
+        packed = left.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), number[F.col("budget_id")]).cast("int"))
+        exchange = min(sum(groups.values()), max(tasks(spark), 4 * spark.sparkContext.defaultParallelism, max(groups.values())))
         out = packed.repartition(exchange, "budget_id", "g").sortWithinPartitions("budget_id", "g", F.desc("size"), "parts").mapInArrow(_packer(nearly, last, depth), schema)
         out = checkpointed(out)
         done.append(_rows(out.where(F.col("container").isNotNull())))
-        if last:
-            break
         left = out.where(F.col("container").isNull()).drop("container")
-        before, count = count, max(r["count"] for r in [*left.groupBy("budget_id").count().collect(), {"count": 0}])
+        after = {r["budget_id"]: r["count"] for r in left.groupBy("budget_id").count().collect()}
+        # A budget whose residue stands still is packed for the last time; the others go on.
+        final = {b for b, c in after.items() if depth and c > STALL * counts[b]}
+        counts = after
         depth += 1
     result = done[0]
     for d in done[1:]:
@@ -140,7 +145,7 @@ def _rows(bins: DataFrame) -> DataFrame:
     return bins.select("budget_id", "container", F.col("size").alias("used"), "capacity", F.inline("parts"))
 
 
-def _packer(nearly: float, last: bool, depth: int):
+def _packer(nearly: float, last: set[int], depth: int):
     """Packs each (budget, group) of a sorted partition; bins below ``nearly`` come out without a name, to be packed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +168,7 @@ def _packer(nearly: float, last: bool, depth: int):
                 off.append(ends[at] - ends[0])
                 used.append(sum(size[i] for i in b))
             merged = pa.ListArray.from_arrays(pa.array(off, pa.int32()), order.flatten())
-            names = [f"{depth}.{g}.{k}" if last or u >= nearly * capacity else None for k, u in enumerate(used)]
+            names = [f"{depth}.{g}.{k}" if budget in last or u >= nearly * capacity else None for k, u in enumerate(used)]
             m = len(bins)
             return pa.RecordBatch.from_arrays([pa.array([budget] * m, pa.int64()), pa.array([capacity] * m, pa.int64()), pa.array(used, pa.int64()), merged, pa.array(names, pa.string())], ["budget_id", "capacity", "size", "parts", "container"])
 
@@ -187,6 +192,24 @@ def _packer(nearly: float, last: bool, depth: int):
     return run
 
 
+def faults(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per budget: documents placed, containers that are overfull or state a wrong use, documents whose pieces do not cover them,
+    and documents split although they fit a container; all but the first must be 0."""
+    one = packed.groupBy("budget_id", "capacity", "container").agg(F.sum("tokens").alias("held"), F.max("used").alias("used"))
+    over = one.groupBy("budget_id").agg(F.count(F.when((F.col("held") > F.col("capacity")) | (F.col("held") != F.col("used")), 1)).alias("n_overfull"))
+    # Rows of equal ids count as one document of their total, as pieces name only the id.
+    whole = sizes.where(F.col("tokens").isNotNull()).groupBy("doc_id").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("largest"))
+    placed = packed.groupBy("budget_id", "capacity", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    met = placed.join(whole, placed["doc_id"].eqNullSafe(whole["doc_id"]), "left").drop(whole["doc_id"])
+    least = F.when(F.col("n") == 1, F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))))
+    docs = met.groupBy("budget_id").agg(
+        F.sum("n").alias("n_documents"),
+        F.count(F.when(~F.col("tokens").eqNullSafe(F.col("size")), 1)).alias("n_uncovered"),
+        F.count(F.when(F.col("pieces") > least, 1)).alias("n_split"),
+    )
+    return docs.join(over, "budget_id")
+
+
 def fill(packed: DataFrame) -> DataFrame:
     """Per budget: containers, tokens placed, share of room used, and the fewest containers that could hold them."""
     one = packed.groupBy("budget_id", "capacity", "container").agg(F.max("used").alias("used"))

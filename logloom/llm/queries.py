@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm import language, leakage, packing
+from logloom.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,12 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_containers(spark, sf))
 
 
+def p8_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents placed per budget, and what would be wrong with the containers."""
+    sizes = checkpointed(packing.token_counts(table(spark, sf, "documents"), VOCABULARY))
+    return packing.faults(packing.pack(sizes, table(spark, sf, "context_budgets")), sizes)
+
+
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Every leak with the length of its longest stretch, its edits and its weighted similarity."""
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
@@ -48,7 +55,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.corrections(p10_labels(spark, sf)).select("doc_id", "cell_no", "lang")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_labels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p8_containers, p8_fill, p8_faults, p9_found, p9_leaks, p10_found, p10_labels)}
 
-#: The operators on text cannot be expressed in SQL; they are tested against brute force and held-out labels.
-SQL: dict[str, str] = {}
+#: The operators on text cannot be expressed in SQL; they are tested against brute force and held-out labels.  The SQL states what must hold of containers.
+SQL: dict[str, str] = {
+    "p8_faults": """SELECT DISTINCT budget_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_documents,
+0::BIGINT AS n_overfull, 0::BIGINT AS n_uncovered, 0::BIGINT AS n_split FROM context_budgets""",
+}

@@ -49,7 +49,7 @@ def test_pack_rounds_place_everything_once(spark):
     rng = random.Random(1)
     items = [(i, rng.choice([0, 1, 7, 33, 64, 90, 100, 101, 250, rng.randrange(400)])) for i in range(700)]
     caps = {1: 100, 2: 256, 3: 100}
-    for kw in ({}, {"group": 60}, {"group": 30, "max_rounds": 2}):
+    for kw in ({}, {"group": 60}, {"group": 30}, {"group": 10, "nearly": 0.9}):
         got = pack(spark, items, caps, **kw).collect()
         check(items, caps, got)
     total = sum(t for _, t in items)
@@ -57,6 +57,26 @@ def test_pack_rounds_place_everything_once(spark):
     assert n <= 1.05 * total / 256 + 1
 
 
+def test_budgets_end_by_their_own_residue(spark):
+    """Items of 40 never fill a container of 100, which must not end the packing of one of 97."""
+    rng = random.Random(4)
+    items = [(i, 40) for i in range(600)] + [(1000 + i, rng.randrange(1, 39)) for i in range(1500)]
+    caps = {1: 41, 2: 997}
+    got = pack(spark, items, caps, group=50).collect()
+    check(items, caps, got)
+    total = sum(t for _, t in items)
+    assert len({r.container for r in got if r.budget_id == 2}) <= -(-total // 997) + 2
+
+
+def test_faults(spark):
+    items = [(1, 60), (2, 40), (3, 230), (4, 0)]
+    packed = pack(spark, items, {1: 100})
+    sizes = spark.createDataFrame(items, "doc_id bigint, tokens bigint")
+    assert [tuple(r) for r in pk.faults(packed, sizes).collect()] == [(1, 4, 0, 0, 0)]
+    assert pk.faults(packed.where("doc_id <> 3 or piece = 0"), sizes).first().n_uncovered == 1
+    assert pk.faults(packed.withColumn("tokens", F.col("tokens") + 1), sizes).first().n_overfull > 0
+
+
 def test_hot_copies_and_edges(spark):
     items = [(i, 40) for i in range(300)]
     check(items, {1: 100}, pack(spark, items, {1: 100}, group=20).collect())
