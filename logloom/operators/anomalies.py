@@ -13,9 +13,13 @@ Three checks over the usable readings of a source in order of time:
   scatter, and its neighbours do not.  Lasting steps, switching between levels,
   filling and emptying thereby stay unflagged.
 
-A source is cut into equal segments of about ``SEGMENT`` readings by quantiles of
-its time, each seeing ``HALO`` readings on either side, so a source of any size is
-spread over tasks; runs and neighbourhoods are far shorter than the halo.  The
+The rule of the task fixes the factor, and at eight scatters a remainder passes any limit of the test; so
+the test chooses what is looked at, and the band decides.  The season does decide: what a source does every
+period is neither in its scatter nor an excursion.
+
+A source is cut into equal segments of at most ``SEGMENT`` readings by their number in
+order of time, each seeing ``HALO`` readings on either side, so a source of any size is
+spread over tasks; readings are numbered by counts per time block and offsets.  Runs and neighbourhoods are far shorter than the halo.  The
 scatter and the limits of the test are those of the whole source whatever its size:
 segments count remainders and differences by narrow bins, the counts of a source add
 up, and every segment is judged by what they yield.  Trend and season are local.
@@ -39,9 +43,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.exact import floor_div
 from logloom.session import tasks
 
-SEGMENT, HALO, PARTS = 4096, 64, 256
+SEGMENT, HALO = 4096, 64
+#: Nanoseconds of log time numbered together.
+BLOCK_NS = 60_000_000_000
 _ROWS = "file_id bigint, topic string, msg_id bigint, log_time bigint, reading double, trend double, season double, is_range boolean, is_stuck boolean, is_spike boolean"
 
 
@@ -56,7 +63,7 @@ def _mad(x: np.ndarray) -> float:
 
 
 def decompose(y: np.ndarray, width: int = 11, strength: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trend, season, remainder).  A season is only taken where medians per phase remove most of the detrended scatter."""
+    """(trend, season, remainder).  A season is only taken where medians per phase remove most of what the trend leaves."""
     n = len(y)
     trend = _running_median(y, width)
     rest = y - trend
@@ -71,7 +78,10 @@ def decompose(y: np.ndarray, width: int = 11, strength: float = 0.6) -> tuple[np
             period = int(np.argmax(lags)) + 2
             phase = np.arange(n) % period
             table = np.array([np.median(rest[phase == p]) for p in range(period)])
-            if _mad(rest - table[phase]) < (1 - strength) * scatter:
+            # Swings may take few phases, which the median deviation does not see; single spikes must not count much.
+            most = np.quantile(np.abs(rest), 0.98)
+            size = lambda v: np.minimum(np.abs(v), most).mean()
+            if size(rest - table[phase]) < (1 - strength) * size(rest):
                 season = table[phase]
     return trend, season, y - trend - season
 
@@ -173,7 +183,7 @@ def spikes(y: np.ndarray, max_spike: int = 3, factor: float = 8.0, side: int = 5
     if n < 5:
         return out, np.full(n, np.median(y) if n else 0.0), np.zeros(n)
     trend, season, rest = decompose(y)
-    scatter, centre, limit = known or usual(counted(rest), counted(np.diff(y)), float(np.diff(np.unique(y)).min(initial=np.inf)) if y.min() < y.max() else 0.0)
+    scatter, centre, limit = known or usual(counted(rest), counted(np.diff(y - season)), float(np.diff(np.unique(y)).min(initial=np.inf)) if y.min() < y.max() else 0.0)
     suspect = _beyond(rest, centre, limit)
     if scatter == 0 or not suspect.any():
         return out, trend, season
@@ -287,7 +297,8 @@ def _count_sorted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             y, mine = x[a:b][ok], own[a:b][ok]
             if not len(y):
                 continue
-            for kind, (bins, n) in enumerate((counted(decompose(y)[2][mine]), counted(np.diff(y)[mine[1:]]))):
+            _, season, rest = decompose(y)
+            for kind, (bins, n) in enumerate((counted(rest[mine]), counted(np.diff(y - season)[mine[1:]]))):
                 out.append(pa.Table.from_arrays([pa.array(np.full(len(n), file[a])), pa.array([topic[a].as_py()] * len(n), pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(bins.astype(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNTS))
         batches = pa.concat_tables([_COUNTS.empty_table(), *out]).combine_chunks().to_batches()
         return batches[0] if batches else pa.RecordBatch.from_pylist([], _COUNTS)
@@ -322,26 +333,27 @@ def _usuals(large: DataFrame, sorted_parts: DataFrame) -> DataFrame:
     return every.groupBy(*keys).applyInPandas(_usual_of, "file_id bigint, topic string, scatter double, centre double, limit double")
 
 
-def segmented(rows: DataFrame, every: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``, small sources whole and large ones cut: equal segments of about ``segment`` rows, with ``halo`` foreign rows on each side.
+def segmented(rows: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``, small sources whole and large ones cut: equal segments of at most ``segment`` rows, with ``halo`` foreign rows on each side.
 
-    Cuts are quantiles of the time of sources larger than two segments, from mergeable sketches over ``every``, which
-    has the source and time of the same rows.  Smaller sources stay whole.
+    Sources of up to two segments stay whole.  The rows of larger ones are numbered by their place in a block of
+    time and the number of rows in earlier blocks, whatever their number.
     """
     keys = ["file_id", "topic"]
-    size = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * segment)
-    parts = [k / PARTS for k in range(1, PARTS)]
-    large = every.join(size, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile_approx("log_time", parts, 10 * PARTS).alias("q"))
-    # Cuts are the 256ths nearest to equal shares; sources beyond 256 segments have larger ones.
-    share = large.withColumn("k", F.least(F.lit(PARTS), F.ceil(F.col("n") / segment)).cast("int"))
-    cuts = share.select(*keys, F.expr(f"array_distinct(transform(sequence(1, k - 1), j -> q[cast(round(j * {PARTS} / k) as int) - 1]))").alias("cuts"))
-    placed = rows.join(cuts, keys, "left").withColumn("seg", F.coalesce(F.expr("size(filter(cuts, c -> c < log_time))"), F.lit(0))).withColumn("last", F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts"))).drop("cuts")
-    whole = placed.where("last = 0").drop("last").withColumn("own", F.lit(True))
-    cut = placed.where("last > 0")
-    w = Window.partitionBy(*keys, "seg")
-    ranked = cut.withColumn("_up", F.row_number().over(w.orderBy("log_time", "msg_id"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("log_time"), F.desc("msg_id"))))
-    homes = F.filter(F.array(F.col("seg"), F.when((F.col("_up") <= halo) & (F.col("seg") > 0), F.col("seg") - 1), F.when((F.col("_down") <= halo) & (F.col("seg") < F.col("last")), F.col("seg") + 1)), lambda v: v.isNotNull())
-    spread = ranked.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_up", "_down", "last").withColumnRenamed("home", "seg")
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * segment)
+    placed = rows.join(size, keys, "left")
+    whole = placed.where(F.col("_n").isNull()).drop("_n").withColumn("seg", F.lit(0).cast("bigint")).withColumn("own", F.lit(True))
+    large = placed.where(F.col("_n").isNotNull()).withColumn("_block", floor_div(F.col("log_time"), BLOCK_NS))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = large.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c")).select(*keys, "_block", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("log_time", "msg_id"))
+    at = large.withColumn("_r", rank).join(offsets, [*keys, "_block"]).withColumn("_i", F.col("_offset") + F.col("_r") - 1)
+    parts = F.expr(f"(_n + {segment - 1}) div {segment}")
+    at = at.withColumn("_k", parts).withColumn("seg", F.expr("(_i * _k) div _n"))
+    # Row numbers at which the row's own segment and the next one begin.
+    start, end = F.expr("(seg * _n + _k - 1) div _k"), F.expr("((seg + 1) * _n + _k - 1) div _k")
+    homes = F.filter(F.array(F.col("seg"), F.when((F.col("_i") - start < halo) & (F.col("seg") > 0), F.col("seg") - 1), F.when((end - F.col("_i") <= halo) & (F.col("seg") < F.col("_k") - 1), F.col("seg") + 1)), lambda v: v.isNotNull())
+    spread = at.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_n", "_block", "_r", "_offset", "_i", "_k").withColumnRenamed("home", "seg")
     return whole, spread
 
 
@@ -358,7 +370,7 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
     order = ["file_id", "topic", "seg", "log_time", "msg_id"]
     dealt = lambda d: d.repartition(n, *order[:3]).sortWithinPartitions(*order)
-    whole, cut = segmented(rows.join(bounds, "topic", "left"), rows)
+    whole, cut = segmented(rows.join(bounds, "topic", "left"))
     own = ["scatter", "centre", "limit"]
     known = cut.join(_usuals(cut, dealt(cut)), ["file_id", "topic"], "left").fillna(0.0, ["scatter"])
     parts = whole.select("*", *[F.lit(float("nan")).alias(c) for c in own]).unionByName(known)

@@ -67,6 +67,32 @@ def test_segments_do_not_change_the_result(spark, monkeypatch):
     assert whole["is_spike"] == [500, 1023, 1024, 1499, 2047] and len(whole["is_stuck"]) == 15
 
 
+def test_segments_stay_bounded_however_large_the_source(spark, monkeypatch):
+    """A million readings at the real constants: every segment has at most SEGMENT readings of its own, in order, and none is lost."""
+    df = spark.range(1_000_003).select(F.lit(1).cast("bigint").alias("file_id"), F.lit("/t").alias("topic"), F.col("id").alias("msg_id"), (F.col("id") * 7_000_000).alias("log_time"), F.col("id").cast("double").alias("reading"))
+    whole, cut = an.segmented(df)
+    assert whole.count() == 0
+    seg = cut.groupBy("seg").agg(F.count(F.when(F.col("own"), 1)).alias("own"), F.count(F.when(~F.col("own"), 1)).alias("halo"), F.min(F.when(F.col("own"), F.col("msg_id"))).alias("a"), F.max(F.when(F.col("own"), F.col("msg_id"))).alias("z"), F.min("msg_id").alias("la"), F.max("msg_id").alias("lz")).orderBy("seg").collect()
+    assert len(seg) == 245 and max(r.own for r in seg) <= an.SEGMENT and min(r.own for r in seg) > 0.9 * an.SEGMENT and sum(r.own for r in seg) == 1_000_003
+    for p, q in zip(seg, seg[1:]):
+        assert q.a == p.z + 1 and q.la == q.a - an.HALO and p.lz == p.z + an.HALO
+
+
+def test_season_decides(spark, monkeypatch):
+    """A source that swings every twelve readings: its own swings are normal, an excursion smaller than a swing is not; without the season it is lost."""
+    rng = np.random.default_rng(11)
+    base = np.array([50 + 20 * (k % 12 in (3, 4)) - 15 * (k % 12 == 8) for k in range(480)], float) + 0.01 * np.arange(480) + 0.3 * rng.standard_normal(480)
+    x = base.copy()
+    x[200] += 8.0
+    x[301:303] -= 7.0
+    with_season = flags(spark, x)["is_spike"]
+    assert with_season == [200, 301, 302] and flags(spark, base)["is_spike"] == []
+    plain = an.decompose
+    assert an.spikes(x)[0].nonzero()[0].tolist() == with_season
+    monkeypatch.setattr(an, "decompose", lambda y: (plain(y)[0], np.zeros(len(y)), y - plain(y)[0]))
+    assert an.spikes(x)[0].nonzero()[0].tolist() != with_season
+
+
 def test_scatter_is_that_of_the_source_however_it_is_cut(spark, monkeypatch):
     quiet, loud = noise(1500, 8, s=0.1), noise(1500, 9, s=1.0)
     x = [v for k in range(0, 1500, 300) for v in (*quiet[k : k + 300], *loud[k : k + 300])]
@@ -92,8 +118,8 @@ def test_copies_neither_swell_a_segment_nor_fill_the_halo(spark, monkeypatch):
     seen = []
     plain = an.segmented
 
-    def spy(rows, every, segment=100, halo=64):
-        got = plain(rows, every, segment, halo)
+    def spy(rows, segment=100, halo=64):
+        got = plain(rows, segment, halo)
         seen.append(got[1])
         return got
 
@@ -108,7 +134,7 @@ def test_copies_neither_swell_a_segment_nor_fill_the_halo(spark, monkeypatch):
 
 def test_segments_are_of_equal_size(spark):
     df = spark.range(1001).selectExpr("1L file_id", "'/t' topic", "id msg_id", "id log_time")
-    _, cut = an.segmented(df, df, 250, 8)
+    _, cut = an.segmented(df, 250, 8)
     sizes = [r["count"] for r in cut.where("own").groupBy("seg").count().collect()]
     assert len(sizes) == 5 and min(sizes) > 180
 
