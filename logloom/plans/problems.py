@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin, unify
+from logloom.session import scratch
+from logloom.streaming import lateness as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,10 +109,33 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return lateness.classify(table(spark, sf, "raw_messages"), ["file_id", "topic"])
 
 
+SOURCE = ["file_id", "topic"]
+
+
+def _streamed(spark: SparkSession, sf: str) -> str:
+    return stream.replayed(table(spark, sf, "raw_messages"), SOURCE, scratch(spark, "lateness"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages beyond the cut-off, from the finished table."""
     return _classified(spark, sf).where("status = 'dropped'").select("msg_id")
 
 
+def p5_stream_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The same messages, diverted by the stream's keyed state."""
+    return stream.apart(spark, _streamed(spark, sf), SOURCE).where("kind = 'dropped'").select("msg_id")
+
+
+def p5_stream_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Per topic and minute what the stream's upserts have arrived at, and how many messages were diverted."""
+    folder = _streamed(spark, sf)
+    key = ["topic", "window_start"]
+    kept = stream.current(spark, folder, SOURCE).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n_first", "n_messages", "n_bytes", "n_late")])
+    beyond = stream.apart(spark, folder, SOURCE).where("kind = 'dropped'").groupBy(*key).agg(F.count(F.lit(1)).alias("n_beyond"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return kept.join(beyond, key, "full").select(*key, *[zero(c) for c in ("n_first", "n_messages", "n_bytes", "n_late", "n_beyond")])
+
+
 def p5_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return lateness.windows(_classified(spark, sf), ["topic"])
 
@@ -132,7 +157,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p4_range, p4_stuck, p5_found, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p4_range, p4_stuck, p5_found, p5_stream_found, p5_stream_minutes, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
@@ -274,6 +299,7 @@ SELECT topic, (publish_time // 60000000000) * 60000000000 AS window_start,
   coalesce(sum(n_bytes) FILTER (behind <= 60000000000), 0)::BIGINT AS n_bytes,
   count(*) FILTER (behind > 0 AND behind <= 60000000000) AS n_late, count(*) FILTER (behind > 60000000000) AS n_beyond
 FROM run GROUP BY 1, 2""",
+    "p5_stream_found": f"WITH {_RAW_FIRST} SELECT msg_id FROM run WHERE behind > 60000000000",
     "p6_found": f"{_PAIRS} SELECT sweep_id, frame_id FROM j WHERE r = 1",
     "p6_pairs": f"{_PAIRS} SELECT sweep_id, frame_id, gap_ns FROM j WHERE r = 1",
     "p7_found": f"""WITH {_READ},
@@ -281,3 +307,4 @@ slots AS (SELECT DISTINCT file_id, topic, log_time // 10000000000 AS slot FROM o
 every AS (SELECT file_id, topic, unnest(range(min(slot), max(slot) + 1)) AS slot FROM slots GROUP BY 1, 2)
 SELECT file_id, topic, slot FROM every ANTI JOIN slots USING (file_id, topic, slot)""",
 }
+SQL["p5_stream_minutes"] = SQL["p5_minutes"]

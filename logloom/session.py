@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,6 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder, seen by all machines of the cluster, for what a query writes in between."""
+    base = shared_folder(spark) or os.path.join(tempfile.gettempdir(), "logloom-scratch")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for an exchange in front of Python work.
 

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 
@@ -81,7 +82,7 @@ def test_stream_equals_batch(spark, tmp_path, pieces):
     batch = lateness.classify(spark.createDataFrame(data, SCHEMA), ["file_id", "topic"])
     want = rows(lateness.windows(batch, ["file_id", "topic"]).where("n_messages > 0").select("file_id", "window_start", "n_first", "n_messages", "n_bytes", "n_late"))
     assert rows(stream.current(spark, out, ["file_id", "topic"]).select("file_id", "window_start", "n_first", "n_messages", "n_bytes", "n_late")) == want
-    apart = rows(spark.read.parquet(f"{out}/apart").where("kind = 'dropped'").select("msg_id"))
+    apart = rows(stream.apart(spark, out, ["file_id", "topic"]).where("kind = 'dropped'").select("msg_id"))
     assert apart == rows(batch.where("status = 'dropped'").select("msg_id"))
 
 
@@ -104,4 +105,54 @@ def test_stream_of_sources_days_apart_in_reverse(spark, tmp_path):
     cols = ["kind", "file_id", "msg_id", "log_time", "publish_time"]
     want = batch.withColumnRenamed("status", "kind").where("kind in ('dropped', 'invalid')").select(cols)
     beyond = ("dropped", 2, 300, pieces[2][-1][3], pieces[2][-1][4])
-    assert rows(spark.read.parquet(f"{out}/apart").select(cols)) == sorted([*rows(want), beyond], key=repr)
+    assert rows(stream.apart(spark, out, source).select(cols)) == sorted([*rows(want), beyond], key=repr)
+
+
+def test_a_table_replayed_in_triggers_with_copies_hours_later(spark, tmp_path):
+    data = make(300, 8)
+    data += [(i, f, t, log + 5 * 3600 * S, p, d, 2) for i, f, t, log, p, d, _ in data[:40]]
+    random.Random(1).shuffle(data)
+    df, source = spark.createDataFrame(data, SCHEMA).repartition(5), ["file_id", "topic"]
+    folder = str(tmp_path / "r")
+    arrivals = stream.replay(df, source, f"{folder}/arrivals", trigger_rows=100)
+    out = f"{folder}/updates"
+    query = stream.sink(stream.stream_windows(arrivals, source), out, f"{folder}/state", source)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 2
+    batch = lateness.classify(df, source)
+    cols = ["file_id", "window_start", "n_first", "n_messages", "n_bytes", "n_late"]
+    assert rows(stream.current(spark, out, source).select(cols)) == rows(lateness.windows(batch, source).where("n_messages > 0").select(cols))
+    cols = ["kind", "file_id", "msg_id", "log_time", "publish_time", "behind_ns"]
+    assert rows(stream.apart(spark, out, source).select(cols)) == rows(batch.withColumnRenamed("status", "kind").where("kind in ('dropped', 'invalid')").select(cols))
+    none = stream.replayed(df.limit(0), source, str(tmp_path / "e"))
+    assert stream.current(spark, none, source).collect() == [] == stream.apart(spark, none, source).collect()
+
+
+def test_horizon_and_idle_sources(spark, tmp_path):
+    """With a horizon ids are forgotten, so state stays bounded; a state given up starts anew."""
+    data = [(1, 1, "/t", 10 * S, 10 * S, b"a", 0), (2, 1, "/t", 20 * S, 20 * S, b"a", 0), (1, 1, "/t", 30 * S, 10 * S, b"a", 0), (3, 1, "/t", 9000 * S, 9000 * S, b"a", 0), (4, 1, "/t", 100 * S, 100 * S, b"a", 0)]
+    df, source = spark.createDataFrame(data[:4], SCHEMA), ["file_id", "topic"]
+    out = stream.replayed(df, source, str(tmp_path / "a"), dedupe_within="1 hour")
+    assert rows(stream.current(spark, out, source).select("window_start", "n_messages")) == [(0, 2), (9000 * S, 1)]
+    src = tmp_path / "in"
+    for k, piece in enumerate((data[:4], data[4:])):
+        spark.createDataFrame(piece, SCHEMA).coalesce(1).write.parquet(str(src / f"p{k}"))
+        for p in (src / f"p{k}").glob("*.parquet"):
+            os.utime(p, (1_000_000 + 100 * k, 1_000_000 + 100 * k))
+    two = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
+    stream.sink(stream.stream_windows(two, source, dedupe_within="1 hour"), str(tmp_path / "o"), str(tmp_path / "k"), source).awaitTermination()
+    assert [r.msg_id for r in stream.apart(spark, str(tmp_path / "o"), source).where("kind = 'dropped'").collect()] == [4]
+
+
+def test_state_of_an_idle_source_is_given_up(spark, tmp_path):
+    spark.createDataFrame(make(20), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = stream.sink(stream.stream_windows(df, ["file_id", "topic"], idle="1 second"), str(tmp_path / "o"), str(tmp_path / "k"), ["file_id", "topic"], processingTime="500 milliseconds")
+    try:
+        held, end = [], time.time() + 60
+        while time.time() < end and not (held and held[-1] == 0 and max(held) == 2):
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            time.sleep(0.5)
+        assert max(held) == 2 and held[-1] == 0
+    finally:
+        query.stop()
