@@ -48,7 +48,7 @@ from logloom.session import tasks
 
 SEGMENT, HALO = 4096, 64
 #: Nanoseconds of log time numbered together.
-BLOCK_NS = 60_000_000_000
+BLOCK_NS = 600_000_000_000
 _ROWS = "file_id bigint, topic string, msg_id bigint, log_time bigint, reading double, trend double, season double, is_range boolean, is_stuck boolean, is_spike boolean"
 
 
@@ -333,28 +333,27 @@ def _usuals(large: DataFrame, sorted_parts: DataFrame) -> DataFrame:
     return every.groupBy(*keys).applyInPandas(_usual_of, "file_id bigint, topic string, scatter double, centre double, limit double")
 
 
-def segmented(rows: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``(file_id, topic)`` series with ``seg`` and ``own``, small sources whole and large ones cut: equal segments of at most ``segment`` rows, with ``halo`` foreign rows on each side.
+def segmented(rows: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
+    """Rows of ``(file_id, topic)`` series with ``seg``, ``own`` and ``n_seg``, small sources whole and large ones cut: equal segments of at most ``segment`` rows, with ``halo`` foreign rows on each side.
 
     Sources of up to two segments stay whole.  The rows of larger ones are numbered by their place in a block of
-    time and the number of rows in earlier blocks, whatever their number.
+    time and the number of rows in earlier blocks, whatever their number.  ``rows`` has ``_block`` and is partitioned by
+    source and block, where it stays; only counts of blocks move.
     """
     keys = ["file_id", "topic"]
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * segment)
-    placed = rows.join(size, keys, "left")
-    whole = placed.where(F.col("_n").isNull()).drop("_n").withColumn("seg", F.lit(0).cast("bigint")).withColumn("own", F.lit(True))
-    large = placed.where(F.col("_n").isNotNull()).withColumn("_block", floor_div(F.col("log_time"), BLOCK_NS))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = large.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c")).select(*keys, "_block", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
+    counts = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("log_time", "msg_id"))
-    at = large.withColumn("_r", rank).join(offsets, [*keys, "_block"]).withColumn("_i", F.col("_offset") + F.col("_r") - 1)
-    parts = F.expr(f"(_n + {segment - 1}) div {segment}")
-    at = at.withColumn("_k", parts).withColumn("seg", F.expr("(_i * _k) div _n"))
+    at = rows.withColumn("_r", rank).join(offsets, [*keys, "_block"]).withColumn("_i", F.col("_offset") + F.col("_r") - 1)
+    parts = F.expr(f"CASE WHEN _n <= {2 * segment} THEN 1L ELSE (_n + {segment - 1}) div {segment} END")
+    at = at.withColumn("n_seg", parts).withColumn("seg", F.expr("(_i * n_seg) div _n"))
     # Row numbers at which the row's own segment and the next one begin.
-    start, end = F.expr("(seg * _n + _k - 1) div _k"), F.expr("((seg + 1) * _n + _k - 1) div _k")
-    homes = F.filter(F.array(F.col("seg"), F.when((F.col("_i") - start < halo) & (F.col("seg") > 0), F.col("seg") - 1), F.when((end - F.col("_i") <= halo) & (F.col("seg") < F.col("_k") - 1), F.col("seg") + 1)), lambda v: v.isNotNull())
-    spread = at.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_n", "_block", "_r", "_offset", "_i", "_k").withColumnRenamed("home", "seg")
-    return whole, spread
+    start, end = F.expr("(seg * _n + n_seg - 1) div n_seg"), F.expr("((seg + 1) * _n + n_seg - 1) div n_seg")
+    before = F.when((F.col("_i") - start < halo) & (F.col("seg") > 0), F.col("seg") - 1)
+    after = F.when((end - F.col("_i") <= halo) & (F.col("seg") < F.col("n_seg") - 1), F.col("seg") + 1)
+    homes = F.filter(F.array(F.col("seg"), before, after), lambda v: v.isNotNull())
+    return at.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("seg")).drop("seg", "_n", "_block", "_r", "_offset", "_i").withColumnRenamed("home", "seg")
 
 
 def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: int = 3, factor: float = 8.0) -> DataFrame:
@@ -364,14 +363,18 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     """
     n = tasks(readings.sparkSession)
     ok = readings.where(F.col("reading").isNotNull() & ~F.isnan("reading") & F.col("log_time").isNotNull() & F.col("file_id").isNotNull() & F.col("topic").isNotNull() & F.col("msg_id").isNotNull())
-    # The filter keeps the reading in every branch that reads the messages, so that all share this one exchange.
-    message = ["file_id", "topic", "msg_id", "log_time"]
-    rows = ok.groupBy(*message).agg(F.min(F.col("reading").cast("double")).alias("reading")).where(F.col("reading").isNotNull())
+    message = ["file_id", "topic", "_block", "msg_id", "log_time"]
+    # All copies of a message lie in one block of time, so one exchange serves to remove them and to number the rest.
+    blocks = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading")).withColumn("_block", floor_div(F.col("log_time"), BLOCK_NS)).where(F.col("_block").isNotNull())
+    rows = blocks.repartition(n, *message[:3]).groupBy(*message).agg(F.min("reading").alias("reading"))
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
     order = ["file_id", "topic", "seg", "log_time", "msg_id"]
-    dealt = lambda d: d.repartition(n, *order[:3]).sortWithinPartitions(*order)
-    whole, cut = segmented(rows.join(bounds, "topic", "left"))
-    own = ["scatter", "centre", "limit"]
-    known = cut.join(_usuals(cut, dealt(cut)), ["file_id", "topic"], "left").fillna(0.0, ["scatter"])
-    parts = whole.select("*", *[F.lit(float("nan")).alias(c) for c in own]).unionByName(known)
-    return dealt(parts.select(*order, "reading", "lo", "hi", "own", *own)).mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)
+    parts = segmented(rows).join(bounds, "topic", "left").select(*order, "reading", "lo", "hi", "own", "n_seg")
+    dealt = parts.repartition(n, *order[:3])
+    # Where a partition is asked for, the condition stays above the exchange, so that both uses share it.
+    cut = dealt.where(F.when(F.spark_partition_id() >= 0, F.col("n_seg")) > 1)
+    segs = cut.groupBy(*order[:3]).agg(F.count(F.lit(1)).alias("_rows"))
+    usuals = segs.join(_usuals(cut, cut.sortWithinPartitions(*order)), ["file_id", "topic"]).select(*order[:3], "scatter", "centre", "limit")
+    known = dealt.join(usuals, order[:3], "left")
+    own = [F.when(F.col("n_seg") == 1, float("nan")).otherwise(F.coalesce("scatter", F.lit(0.0))).alias("scatter"), F.coalesce("centre", F.lit(0.0)).alias("centre"), F.coalesce("limit", F.lit(float("inf"))).alias("limit")]
+    return known.select(*order, "reading", "lo", "hi", "own", *own).sortWithinPartitions(*order).mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)
