@@ -366,7 +366,8 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     message = ["file_id", "topic", "_block", "msg_id", "log_time"]
     # All copies of a message lie in one block of time, so one exchange serves to remove them and to number the rest.
     blocks = ok.select("file_id", "topic", "msg_id", "log_time", F.col("reading").cast("double").alias("reading")).withColumn("_block", floor_div(F.col("log_time"), BLOCK_NS)).where(F.col("_block").isNotNull())
-    rows = blocks.repartition(n, *message[:3]).groupBy(*message).agg(F.min("reading").alias("reading"))
+    # The filter keeps the reading in the branch that only counts, so that both share this exchange.
+    rows = blocks.repartition(n, *message[:3]).groupBy(*message).agg(F.min("reading").alias("reading")).where(F.col("reading").isNotNull())
     bounds = limits.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.max("min_possible").alias("lo"), F.min("max_possible").alias("hi"))
     order = ["file_id", "topic", "seg", "log_time", "msg_id"]
     parts = segmented(rows).join(bounds, "topic", "left").select(*order, "reading", "lo", "hi", "own", "n_seg")
