@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, tickjoin, unify
+from logloom.operators import anomalies, dewey, eager, lateness, lifespan, readings, ssa_grid, unify
 from logloom.session import scratch
 from logloom.streaming import lateness as stream
 
@@ -140,15 +140,6 @@ def p5_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return lateness.windows(_classified(spark, sf), ["topic"])
 
 
-def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    m = tickjoin.mount()
-    return tickjoin.nearest(table(spark, sf, "lidar_sweeps"), table(spark, sf, "camera_frames"), {"file_id": (F.col("file_id"), F.col("file_id")), "mount": (m, m)}, "sweep_id", "frame_id")
-
-
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_pairs(spark, sf).select("sweep_id", "frame_id")
-
-
 def p7_grid(spark: SparkSession, sf: str) -> DataFrame:
     return ssa_grid.regular_grid(readings.with_reading(table(spark, sf, "decoded_messages")))
 
@@ -157,7 +148,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_grid(spark, sf).where("filled").select("file_id", "topic", "slot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p4_range, p4_stuck, p5_found, p5_stream_found, p5_stream_minutes, p5_minutes, p6_found, p6_pairs, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_object_table, p1_part_codes, p1_field_table, p2_found, p2_report, p2_unified, p3_found, p3_counts, p3_topic_totals, p3_weighted_bytes, p4_found, p4_flags, p4_range, p4_stuck, p5_found, p5_stream_found, p5_stream_minutes, p5_minutes, p7_found, p7_grid)}
 
 _RAW_FIRST = """
 first AS (
@@ -175,16 +166,6 @@ read AS (
   FROM decoded_messages),
 ok AS (SELECT * FROM read WHERE reading IS NOT NULL)"""
 
-_MOUNT = "nullif(regexp_extract(topic, '^/[^/]+/([^/]+)/[^/]+$', 1), '')"
-
-_PAIRS = f"""
-WITH s AS (SELECT DISTINCT sweep_id, file_id, {_MOUNT} AS mount, log_time FROM lidar_sweeps WHERE log_time IS NOT NULL),
-f AS (SELECT DISTINCT frame_id, file_id, {_MOUNT} AS mount, log_time FROM camera_frames WHERE log_time IS NOT NULL),
-j AS (SELECT s.sweep_id, f.frame_id, f.log_time - s.log_time AS gap_ns,
-        row_number() OVER (PARTITION BY s.sweep_id ORDER BY abs(f.log_time - s.log_time), f.frame_id) AS r
-      FROM s JOIN f ON s.file_id = f.file_id AND s.mount = f.mount
-       AND f.log_time BETWEEN s.log_time - 40000000 AND s.log_time + 40000000)"""
-
 SQL: dict[str, str] = {
     "p1_found": """
 WITH RECURSIVE scene AS (SELECT DISTINCT msg_id, value FROM scene_messages),
@@ -300,8 +281,6 @@ SELECT topic, (publish_time // 60000000000) * 60000000000 AS window_start,
   count(*) FILTER (behind > 0 AND behind <= 60000000000) AS n_late, count(*) FILTER (behind > 60000000000) AS n_beyond
 FROM run GROUP BY 1, 2""",
     "p5_stream_found": f"WITH {_RAW_FIRST} SELECT msg_id FROM run WHERE behind > 60000000000",
-    "p6_found": f"{_PAIRS} SELECT sweep_id, frame_id FROM j WHERE r = 1",
-    "p6_pairs": f"{_PAIRS} SELECT sweep_id, frame_id, gap_ns FROM j WHERE r = 1",
     "p7_found": f"""WITH {_READ},
 slots AS (SELECT DISTINCT file_id, topic, log_time // 10000000000 AS slot FROM ok),
 every AS (SELECT file_id, topic, unnest(range(min(slot), max(slot) + 1)) AS slot FROM slots GROUP BY 1, 2)
