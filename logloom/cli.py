@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("logloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+            spark.conf.set("spark.sql.caseSensitive", "true")  # the session is this command's own
             convert(spark, a.input, a.topic, a.output, o)
     except (LogError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import types as T
 
+#: Names of the types, and bits of the integers.
 INTS = {"I8": 8, "I16": 16, "I32": 32, "I64": 64, "U8": 8, "U16": 16, "U32": 32, "U64": 64}
 KINDS = {"Null", "Bool", *INTS, "F32", "F64", "String", "WString", "BoundedString", "BoundedWString", "Bytes", "BoundedBytes", "Enum", "Struct", "List", "BoundedList", "Array", "Map"}
 #: Metadata keys.
@@ -80,34 +81,32 @@ def type_text(t: Type) -> str:
             return t.kind.lower()
 
 
-def _expands(t: Type) -> bool:
-    return t.kind in ("Struct", "Enum") or any(e is not None and _expands(e.type) for e in (t.item, t.key))
+def _below(t: Type) -> list[tuple[str, Element] | str]:
+    """What stands under a field of the type: fields, labels of an enum, or the parts of a map."""
+    while t.item is not None and not (t.kind == "Map" and _has_tree(t.key.type)):
+        t = t.item.type
+    if t.kind == "Map":
+        return [(f"@{part}", e) for part, e in (("key", t.key), ("value", t.item)) if _has_tree(e.type)]
+    return [f"{n} = {v}" for n, v in t.variants] if t.kind == "Enum" else [(f.name, f.element) for f in t.fields]
+
+
+def _has_tree(t: Type) -> bool:
+    held = [t]
+    for x in held:
+        held += [e.type for e in (x.key, x.item) if e is not None]
+    return any(x.kind in ("Struct", "Enum") for x in held)
 
 
 def schema_text(fields: tuple[Field, ...] | list[Field]) -> str:
-    """The schema as an indented tree: one line per field with its whole type, bodies of structs and enums below it."""
-    out: list[str] = []
-
-    def line(depth: int, name: str, e: Element) -> None:
-        out.append(f"{' ' * (4 * depth)}{name}: {e}\n")
-        body(depth + 1, e.type)
-
-    def body(depth: int, t: Type) -> None:
-        if t.kind == "Struct":
-            for f in t.fields:
-                line(depth, f.name, f.element)
-        elif t.kind == "Enum":
-            out.extend(f"{' ' * (4 * depth)}{n} = {v}\n" for n, v in t.variants)
-        elif t.kind == "Map" and _expands(t.key.type):
-            line(depth, "@key", t.key)
-            if _expands(t.item.type):
-                line(depth, "@value", t.item)
-        elif t.item is not None:
-            body(depth, t.item.type)
-
-    for f in fields:
-        line(0, f.name, f.element)
-    return "".join(out)
+    """Fields as an indented tree, each with its whole type."""
+    lines: list[str] = []
+    todo: list[tuple[int, tuple[str, Element] | str]] = [(0, (f.name, f.element)) for f in reversed(fields)]
+    while todo:
+        depth, entry = todo.pop()
+        text, under = (entry, []) if isinstance(entry, str) else (f"{entry[0]}: {entry[1]}", _below(entry[1].type))
+        lines.append("    " * depth + text + "\n")
+        todo += [(depth + 1, x) for x in reversed(under)]
+    return "".join(lines)
 
 
 # --- Spark and Arrow ------------------------------------------------------------

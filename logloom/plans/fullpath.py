@@ -19,6 +19,8 @@ from logloom import ir
 from logloom.ir import Field, field, struct
 from logloom.operators.flatten import FlattenPolicy, flatten
 from logloom.operators.project import project
+from logloom.session import scratch, shared_folder
+from logloom.sinks.convert import ConvertOptions, shaped, write
 from logloom.sources import mcap
 from logloom.sources.scan import scan_topic
 
@@ -50,16 +52,28 @@ def _customer(r: dict) -> tuple[int, dict]:
 TABLES = {"events": (EVENTS, _events), "lineitem": (LINEITEM, _lineitem), "customer": (CUSTOMER, _customer)}
 
 
+def _content(path: str) -> tuple[list, int]:
+    """Files of a table with their sizes and times, and bytes in all."""
+    files = [path] if os.path.isfile(path) else sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names)
+    seen = [(f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in files]
+    return seen, sum(n for _, n, _ in seen)
+
+
 def _folder(spark: SparkSession, sf: str, name: str, encoding: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logloom-files")
-    shared = shared.removeprefix("file://")
-    stamp = hashlib.sha1(f"{os.path.realpath(sf)}/{name}/{encoding}/{TABLES[name][0]}".encode()).hexdigest()[:12]
+    shared = (shared_folder(spark) or os.path.join(tempfile.gettempdir(), "logloom-files")).removeprefix("file://")
+    if "://" in shared:
+        raise ValueError(f"container files need a folder that all machines mount, not {shared}")
+    what = f"{os.path.realpath(sf)}/{name}/{encoding}/{TABLES[name][0]}/{_content(os.path.realpath(f'{sf}/{name}.parquet'))[0]}"
+    stamp = hashlib.sha1(what.encode()).hexdigest()[:12]
     return os.path.join(shared, "containers", f"{name}-{encoding}-{stamp}")
 
 
-def written(spark: SparkSession, sf: str, name: str, encoding: str, compression: str = "zstd") -> str:
-    """Folder of container files of the table; written unless a finished one is there."""
-    folder = _folder(spark, sf, name, encoding)
+def written(spark: SparkSession, sf: str, name: str, encoding: str, compression: str = "zstd", topic_by: str | None = None, order: str | None = None) -> str:
+    """Folder of container files of the table; written unless a finished one is there.
+
+    ``topic_by`` gives each value of a column a topic of its own in every file; ``order`` writes one file in that order.
+    """
+    folder = _folder(spark, sf, name, encoding) + (f"-by-{topic_by}" if topic_by else "") + (f"-order-{order}" if order else "")
     if os.path.exists(f"{folder}/_SUCCESS"):
         return folder
     os.makedirs(folder, exist_ok=True)
@@ -90,16 +104,21 @@ def written(spark: SparkSession, sf: str, name: str, encoding: str, compression:
 
         with McapWriter(temp, compression, 256 << 10) as w:
             s = w.add_schema(full, encoding, schema)
-            ch = w.add_channel(f"/{name}", message, s)
+            channels: dict[str, int] = {}
             for b in batches:
                 for r in b.to_pylist():
                     at, v = convert(r)
-                    w.write(ch, at, encode(v), sequence=rows)
+                    topic = f"/{name}/{r[topic_by]}" if topic_by else f"/{name}"
+                    if topic not in channels:
+                        channels[topic] = w.add_channel(topic, message, s)
+                    w.write(channels[topic], at, encode(v), sequence=rows)
                     rows += 1
         os.replace(temp, path)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows])], ["path", "rows"])
 
-    spark.read.parquet(f"{sf}/{name}.parquet").repartition(4).mapInArrow(run, "path string, rows bigint").collect()
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = df.orderBy(order).coalesce(1) if order else df.repartition(max(4, _content(os.path.realpath(f"{sf}/{name}.parquet"))[1] >> 26))
+    df.mapInArrow(run, "path string, rows bigint").collect()
     open(f"{folder}/_SUCCESS", "w").close()
     return folder
 
@@ -116,12 +135,12 @@ def _message(cls, v: dict):
     return m
 
 
-def _read(spark: SparkSession, sf: str, name: str, encoding: str, **options: object) -> DataFrame:
+def _read(spark: SparkSession, sf: str, name: str, encoding: str, topic: str | None = None, topic_by: str | None = None, order: str | None = None, **options: object) -> DataFrame:
     mcap.register(spark)
-    r = spark.read.format("mcap").option("topic", f"/{name}")
+    r = spark.read.format("mcap").option("topic", topic or f"/{name}")
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load(written(spark, sf, name, encoding))
+    return r.load(written(spark, sf, name, encoding, topic_by=topic_by, order=order))
 
 
 def _flat_events(df: DataFrame) -> DataFrame:
@@ -169,12 +188,57 @@ def scan_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Payload bytes without a decoder."""
+    """Payload bytes without a decoder: their length, and the fields that can be read at their positions."""
     df = _read(spark, sf, "customer", "ros2msg", mode="raw")
-    return df.select("log_time", "publish_time", F.lower(F.hex(F.substring("data", 1, 4))).alias("head"))
+    number = lambda at, n: F.conv(F.regexp_replace(F.reverse(F.hex(F.substring("data", at, n))), "(.)(.)", "$2$1"), 16, 10).cast("bigint")
+    named = df.withColumn("n", number(F.lit(13), F.lit(4)).cast("int"))
+    return named.select(
+        "log_time", "publish_time", F.octet_length("data").cast("bigint").alias("n_bytes"), F.lower(F.hex(F.substring("data", 1, 4))).alias("head"), number(F.lit(5), F.lit(8)).alias("custkey"),
+        F.decode(F.substring(F.col("data"), F.lit(17), F.col("n") - 1), "UTF-8").alias("name"), number(F.expr("5 + (12 + n + 3) div 4 * 4"), F.lit(4)).alias("nation"),
+    )
+
+
+def scan_one_of_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """One topic of files that hold several."""
+    return _flat_events(_read(spark, sf, "events", "ros2idl", topic="/events/click", topic_by="event_type"))
+
+
+def scan_topics_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue of files with several topics."""
+    mcap.register(spark)
+    t = spark.read.format("mcap").option("mode", "topics").load(written(spark, sf, "events", "ros2idl", topic_by="event_type"))
+    return t.groupBy("topic", "schema_name", "schema_encoding", "decodable").agg(F.sum("message_count").alias("message_count"))
+
+
+def scan_offset_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """The source's own offset and limit, after its time range."""
+    return _flat_events(_read(spark, sf, "events", "ros2msg", order="event_id", offset=37, limit=250, startTime=1704153600000000000))
+
+
+def write_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic's messages flattened, written as CSV and read back."""
+    folder = scratch(spark, "csv")
+    write(shaped(_read(spark, sf, "lineitem", "ros2msg"), ConvertOptions("csv")), folder, ConvertOptions("csv"))
+    return spark.read.option("header", True).schema("log_time bigint, publish_time bigint, `keys.order` bigint, `keys.part` bigint, `keys.line` int, `amounts.quantity` double, `amounts.price` double, `amounts.discount` double, flag string, status string").csv(folder).drop("publish_time")
+
+
+def write_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic's messages written as Parquet and read back, lists kept."""
+    folder = scratch(spark, "parquet")
+    write(shaped(_read(spark, sf, "customer", "ros2idl"), ConvertOptions("parquet")), folder, ConvertOptions("parquet"))
+    t = spark.read.parquet(folder)
+    return t.select("log_time", "custkey", "name", "nation", "balance", F.size("history").alias("n_history"))
+
+
+def write_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic's messages written as JSON Lines and read back."""
+    folder = scratch(spark, "jsonl")
+    write(shaped(_read(spark, sf, "events", "protobuf"), ConvertOptions("jsonl")), folder, ConvertOptions("jsonl"))
+    t = spark.read.schema("log_time bigint, event_id bigint, user_id bigint, event_type string, value double, props string").json(folder)
+    return t.withColumn("props", F.decode(F.unhex("props"), "UTF-8"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (scan_ros2msg, scan_ros2idl, scan_protobuf, scan_time_range, scan_project_flatten, scan_many_files, scan_catalog, scan_raw)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (scan_ros2msg, scan_ros2idl, scan_protobuf, scan_time_range, scan_project_flatten, scan_many_files, scan_catalog, scan_raw, scan_one_of_topics, scan_topics_of_files, scan_offset_limit, write_csv, write_parquet, write_jsonl)}
 
 _EVENTS_SQL = "SELECT epoch_us(ts) * 1000 AS log_time, event_id, user_id, event_type, value, props FROM events"
 SQL: dict[str, str] = {
@@ -186,5 +250,14 @@ l_extendedprice AS amounts_price, l_discount AS amounts_discount, l_returnflag A
     "scan_project_flatten": 'SELECT l_orderkey AS "keys.order", l_linenumber AS "keys.line", l_extendedprice AS "amounts.price" FROM lineitem',
     "scan_many_files": "SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, (c_custkey % 4)::INTEGER AS n_history, c_acctbal * (CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) AS total FROM customer",
     "scan_catalog": "SELECT '/lineitem' AS topic, 'tables.Row' AS schema_name, 'protobuf' AS message_encoding, true AS decodable, count(*) AS message_count FROM lineitem",
-    "scan_raw": "SELECT c_custkey AS log_time, c_custkey AS publish_time, '00010000' AS head FROM customer",
+    # 4 bytes of header; key, length and text of the name with its end, nation, balance, number and values of the history, each aligned to its size.
+    "scan_raw": """WITH a AS (SELECT *, strlen(c_name) + 1 AS n, c_custkey % 4 AS k FROM customer), b AS (SELECT *, (12 + n + 3) // 4 * 4 + 4 AS e FROM a)
+SELECT c_custkey AS log_time, c_custkey AS publish_time, (4 + (e + 7) // 8 * 8 + 8 + CASE WHEN k = 0 THEN 4 ELSE 8 + 8 * k END)::BIGINT AS n_bytes, '00010000' AS head, c_custkey AS custkey, c_name AS name, c_nationkey::BIGINT AS nation FROM b""",
+    "scan_one_of_topics": f"{_EVENTS_SQL} WHERE event_type = 'click'",
+    "scan_topics_of_files": "SELECT '/events/' || event_type AS topic, 'tables/msg/Row' AS schema_name, 'ros2idl' AS schema_encoding, true AS decodable, count(*) AS message_count FROM events GROUP BY 1",
+    "scan_offset_limit": f"{_EVENTS_SQL} WHERE epoch_us(ts) >= 1704153600000000 ORDER BY event_id LIMIT 250 OFFSET 37",
+    "write_csv": """SELECT l_orderkey * 10 + l_linenumber AS log_time, l_orderkey AS "keys.order", l_partkey AS "keys.part", l_linenumber AS "keys.line", l_quantity AS "amounts.quantity",
+l_extendedprice AS "amounts.price", l_discount AS "amounts.discount", l_returnflag AS flag, l_linestatus AS status FROM lineitem""",
+    "write_parquet": "SELECT c_custkey AS log_time, c_custkey AS custkey, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, (c_custkey % 4)::INTEGER AS n_history FROM customer",
+    "write_jsonl": _EVENTS_SQL,
 }

@@ -237,7 +237,7 @@ class Parser:
             marks = [t for n, t in self.annotations() if n == "value"]
             at = self.toks[self.i] if self.i < len(self.toks) else start
             label = self.word()
-            value = self.given(marks[0], at) if marks else value + 1
+            value = self.given(marks[-1], at) if marks else value + 1
             if not _LOW <= value <= _HIGH:
                 raise self.fail("enum value is outside the 32-bit range of an enum", at)
             out.append((label, value))

@@ -40,15 +40,17 @@ from logloom.sources.reader import LogReader
 TOPICS = "path string, topic string, message_count bigint, schema_name string, schema_encoding string, message_encoding string, channel_count int, decodable boolean, decode_error string, note string"
 
 
-def register(spark: SparkSession, decoders: list[MessageDecoder] | None = None) -> None:
+def register(spark: SparkSession, decoders: list[MessageDecoder] | None = None, case_sensitive: bool = False) -> None:
     """Make ``mcap`` readable in the session; ``decoders`` are used beside the built-in ones until the next call.
 
     Spark makes sources in processes of their own, so the decoders travel as part of the registered class.
-    Field names of messages are case-sensitive, and so the session becomes; filters are pushed into the source.
+    Filters are pushed into the source.  Field names of messages are case-sensitive; ``case_sensitive`` makes the session so,
+    which only topics need whose names differ by case alone.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.conf.set("spark.sql.caseSensitive", "true")
+    if case_sensitive:
+        spark.conf.set("spark.sql.caseSensitive", "true")
     spark.dataSource.register(type("RegisteredSource", (McapSource,), {"decoders": tuple(decoders or ())}))
 
 
@@ -164,24 +166,26 @@ class McapSource(DataSource):
 
 
 class ArrivalReader(DataSourceStreamReader):
-    """Files of a folder as they arrive.  An offset counts the files in order of arrival (time of change, then name);
-    files must be put in place whole, as a log without summary cannot be read.
+    """Files of a folder as they arrive.  An offset names the files that were there, so each is read exactly once whatever its
+    time of change; those that were moved away since leave it, which keeps it short.  Files must be put in place whole, as
+    a log without summary cannot be read.
     """
 
     def __init__(self, source: McapSource) -> None:
         self.path, self.inner = source.options["path"], TopicReader(source)
 
     def _arrived(self) -> list[str]:
-        return sorted(paths_of(self.path), key=lambda p: (os.stat(p).st_mtime_ns, p))
+        return sorted(paths_of(self.path))
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(self._arrived())}
+        return {"files": self._arrived()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.inner.paths = self._arrived()[start["files"] : end["files"]]
+        known = set(start["files"])
+        self.inner.paths = [p for p in end["files"] if p not in known]
         return self.inner.partitions() if self.inner.paths else [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:

@@ -251,6 +251,12 @@ def test_stream_of_arriving_files(spark, load, tmp_path):
     os.utime(folder / "b.mcap", (1, 1))
     write(folder / "a.mcap", 5)
     assert drain() == 8 == drain()
+    write(folder / "late.mcap", 2)
+    os.utime(folder / "late.mcap", (0, 0))
+    assert drain() == 10 == drain()
+    os.remove(folder / "a.mcap")
+    write(folder / "c.mcap", 1)
+    assert drain() == 11
 
 
 def test_names_that_differ_in_case_only(spark, tmp_path):
@@ -258,9 +264,15 @@ def test_names_that_differ_in_case_only(spark, tmp_path):
     p = str(tmp_path / "c.mcap")
     with McapWriter(p) as w:
         w.write(w.add_channel("/c", "cdr", w.add_schema("p/msg/C", "ros2msg", models.msg_text(fields, "p").encode())), 1, models.cdr(fields, {"a": 1, "A": 2}))
+    before = spark.conf.get("spark.sql.caseSensitive")
     mcap.register(spark)
-    df = spark.read.format("mcap").option("topic", "/c").load(p)
-    assert rows(df.select("a", "A")) == [(1, 2)]
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+    try:
+        mcap.register(spark, case_sensitive=True)
+        df = spark.read.format("mcap").option("topic", "/c").load(p)
+        assert rows(df.select("a", "A")) == [(1, 2)]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
 
 
 def test_scan_reports_unreadable_files_and_lets_io_errors_through(spark, tmp_path):
