@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from logloom.functions.exact import floor_div
 from logloom import ir
 from logloom.decode.base import ProtobufDecoder, Ros2IdlDecoder, Ros2MsgDecoder, TopicDecoder
+from logloom.decode.batches import to_array
 from logloom.ir import Field
 
 
@@ -30,14 +32,21 @@ def unix_ns(ts: Column) -> Column:
 
 
 def decode_payload(data: Column, decoder: TopicDecoder) -> Column:
-    """Struct of the decoder's fields from payload bytes, in Arrow batches."""
+    """Struct of the decoder's fields from payload bytes, column-wise where the decoder can; null where the payload is."""
     fields: tuple[Field, ...] = decoder.fields
     out = T.StructType([T.StructField(f.name, ir.spark_type(f.element.type), True) for f in fields])
 
-    @F.pandas_udf(out)
-    def run(payload: pd.Series) -> pd.DataFrame:
-        rows = [None if p is None else decoder.decode(p) for p in payload]
-        return pd.DataFrame({f.name: pd.Series([None if r is None else _plain(r[f.name], f.element) for r in rows], dtype=object) for f in fields})
+    @F.arrow_udf(out)
+    def run(payloads: pa.Array) -> pa.Array:
+        some = [p for p in payloads.to_pylist() if p is not None]
+        cols = decoder.columns(some, fields)
+        if cols is None:
+            rows = [decoder.decode(p) for p in some]
+            cols = [to_array([r.get(f.name) for r in rows], f, ir.arrow_type(f.element.type)) for f in fields]
+        kinds = [pa.field(f.name, ir.arrow_type(f.element.type)) for f in fields]
+        got = pa.StructArray.from_arrays([c if c.type == k.type else c.cast(k.type) for c, k in zip(cols, kinds, strict=True)], fields=kinds)
+        there = payloads.is_valid().to_numpy(zero_copy_only=False)
+        return got if there.all() else got.take(pa.array(np.cumsum(there) - 1, mask=~there))
 
     return run(data)
 
@@ -51,21 +60,3 @@ def decode_cdr(data: Column, schema_name: str, schema: str, grammar: str = "ros2
     """Struct of a ROS 2 message, its schema given as ``.msg`` or IDL text."""
     decoder = {"ros2msg": Ros2MsgDecoder, "ros2idl": Ros2IdlDecoder}[grammar]()
     return decode_payload(data, decoder.topic(schema_name, schema.encode()))
-
-
-def _plain(v: object, e: ir.Element) -> object:
-    """Values as the Arrow conversion of pandas takes them."""
-    if v is None:
-        return None
-    t = e.type
-    if t.kind == "Struct":
-        return {f.name: _plain(v[f.name], f.element) for f in t.fields}
-    if t.kind == "Map":
-        return {k: _plain(x, t.item) for k, x in v}
-    if t.item is not None:
-        return [_plain(x, t.item) for x in v]
-    if t.kind == "U64":
-        from decimal import Decimal
-
-        return Decimal(v)
-    return v

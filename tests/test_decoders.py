@@ -7,11 +7,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 
 from logloom.decode.base import JsonDecoder, ProtobufDecoder, Registry, Ros2IdlDecoder, Ros2MsgDecoder
-from logloom.decode.batches import Metadata, batched, payload_batches, record_batch
+from logloom import ir
+from logloom.decode.batches import Metadata, batched, payload_batches, record_batch, to_array
 from logloom.decode.cdr import CdrDecoder
 from logloom.decode.protobuf import decode_value
 from logloom.errors import ConvertError, EmptyRows, MessageDecode, MetadataColumnCollision, NoDecoder, SchemaDerivation, SchemaParse, ValueTypeError
 from logloom.ir import Element, Type, field, struct
+from logloom.schema import protobuf as pb
 from logloom.testkit import models
 
 HEAD = b"\0\1\0\0"
@@ -101,6 +103,49 @@ def test_grammars_agree_with_the_model(case):
 # --- protobuf ---------------------------------------------------------------------------
 
 
+def test_protobuf_columns_equal_the_messages_one_by_one():
+    """Unset, repeated, map, enum, nested and empty fields, by both ways."""
+    f = descriptor_pb2.FileDescriptorProto(name="x.proto", package="x", syntax="proto3")
+    e = f.enum_type.add(name="E")
+    for n, v in (("ZERO", 0), ("ONE", 1)):
+        e.value.add(name=n, number=v)
+    inner = f.message_type.add(name="In")
+    inner.field.add(name="u", number=1, label=1, type=4)
+    inner.field.add(name="names", number=2, label=3, type=9)
+    f.message_type.add(name="Empty")
+    m = f.message_type.add(name="M")
+    m.field.add(name="one", number=1, label=1, type=11, type_name=".x.In")
+    m.field.add(name="many", number=2, label=3, type=11, type_name=".x.In")
+    m.field.add(name="kind", number=3, label=1, type=14, type_name=".x.E")
+    m.field.add(name="kinds", number=4, label=3, type=14, type_name=".x.E")
+    m.field.add(name="blob", number=5, label=1, type=12)
+    m.field.add(name="none", number=6, label=1, type=11, type_name=".x.Empty")
+    entry = m.nested_type.add(name="ByEntry")
+    entry.options.map_entry = True
+    entry.field.add(name="key", number=1, label=1, type=9)
+    entry.field.add(name="value", number=2, label=1, type=11, type_name=".x.In")
+    m.field.add(name="by", number=7, label=3, type=11, type_name=".x.M.ByEntry")
+    fds = descriptor_pb2.FileDescriptorSet(file=[f]).SerializeToString()
+    topic = pickle.loads(pickle.dumps(ProtobufDecoder().topic("x.M", fds)))
+    cls = pb.message_class(pb.descriptor("x.M", fds))
+    a, b, c = cls(), cls(kind=5, blob=b"z"), cls(kinds=[1, 9, 0])
+    a.one.u = 2**64 - 1
+    a.one.names.extend(["p", ""])
+    a.none.SetInParent()
+    for k in range(3):
+        c.many.add(u=k, names=["n"] * k)
+        c.by[f"k{k}"].u = k
+    payloads = [x.SerializeToString() for x in (a, b, c)]
+    want = [to_array([topic.decode(p)[x.name] for p in payloads], x, ir.arrow_type(x.element.type)) for x in topic.fields]
+    got = topic.columns(payloads, topic.fields)
+    norm = lambda x: sorted(x) if isinstance(x, list) and x and isinstance(x[0], tuple) else x
+    for x, w, g in zip(topic.fields, want, got, strict=True):
+        assert [norm(v) for v in g.to_pylist()] == [norm(v) for v in w.to_pylist()], x.name
+    assert [len(x) for x in topic.columns([], topic.fields)] == [0] * 7
+    with pytest.raises(MessageDecode):
+        topic.columns([b"\xff"], topic.fields)
+
+
 def color_file():
     f = descriptor_pb2.FileDescriptorProto(name="c.proto", package="c", syntax="proto3")
     e = f.enum_type.add(name="Color")

@@ -178,9 +178,9 @@ def test_convert_csv_and_parquet(spark, log, tmp_path):
 
 
 def test_convert_options():
-    with pytest.raises(SinkError, match="requires --list-policy flatten-fixed"):
+    with pytest.raises(SinkError, match="only used by the list policy flatten-fixed"):
         ConvertOptions("csv", list_size=3)
-    with pytest.raises(SinkError, match="requires --format jsonl"):
+    with pytest.raises(SinkError, match="only be written as jsonl"):
         ConvertOptions("csv", explicit_nulls=True)
     with pytest.raises(SinkError, match="must not contain '.'"):
         ConvertOptions(metadata_prefix="a.")
