@@ -166,6 +166,41 @@ read AS (
   FROM decoded_messages),
 ok AS (SELECT * FROM read WHERE reading IS NOT NULL)"""
 
+# Every field of every definition, and its type as text: kinds around the item grow on the left, bounds and lengths on the right.
+_FIELDS = """
+defs AS (SELECT schema_id, any_value(field_defs)::JSON AS d FROM topic_schemas GROUP BY schema_id),
+walk AS (
+  SELECT schema_id, '' AS prefix, '' AS parent, '' AS path, '' AS name, 0 AS pos, NULL::JSON AS element, d AS fields, NULL::JSON AS el FROM defs
+  UNION ALL
+  SELECT schema_id,
+    CASE WHEN el IS NULL THEN prefix || json_extract_string(x, '$.name')
+         ELSE prefix || CASE WHEN json_extract_string(el, '$.data_type') = 'Map' THEN '{}' ELSE '[]' END END
+      || CASE WHEN json_exists(CASE WHEN el IS NULL THEN x ELSE el END, CASE WHEN el IS NULL THEN '$.element.fields' ELSE '$.item.fields' END) THEN '.' ELSE '' END,
+    CASE WHEN el IS NULL THEN path ELSE parent END,
+    CASE WHEN el IS NULL THEN prefix || json_extract_string(x, '$.name') ELSE path END,
+    CASE WHEN el IS NULL THEN json_extract_string(x, '$.name') ELSE name END,
+    CASE WHEN el IS NULL THEN i ELSE -1 END,
+    json_extract(x, '$.element'),
+    CASE WHEN el IS NULL THEN json_extract(x, '$.element.fields') ELSE json_extract(el, '$.item.fields') END,
+    CASE WHEN el IS NULL THEN CASE WHEN json_exists(x, '$.element.item') THEN json_extract(x, '$.element') END
+         ELSE CASE WHEN json_exists(el, '$.item.item') THEN json_extract(el, '$.item') END END
+  FROM (SELECT *, unnest(CASE WHEN el IS NULL THEN from_json(fields, '["JSON"]') ELSE ['0'::JSON] END) AS x,
+               unnest(range(CASE WHEN el IS NULL THEN json_array_length(fields)::BIGINT ELSE 1 END)) AS i FROM walk WHERE fields IS NOT NULL OR el IS NOT NULL)),
+types AS (
+  SELECT schema_id, path, element AS e, '' AS before, '' AS after, false AS done FROM walk WHERE pos >= 0 AND path <> ''
+  UNION ALL
+  SELECT schema_id, path, json_extract(e, '$.item'),
+    before || coalesce(json_extract_string(e, '$.data_type'), json_extract_string(e, '$'))
+      || CASE WHEN json_exists(e, '$.item') THEN '<' || coalesce(json_extract_string(e, '$.key.data_type') || coalesce('<max=' || json_extract_string(e, '$.key.max') || '>', ''), json_extract_string(e, '$.key'), '')
+                || CASE WHEN json_exists(e, '$.key') THEN ',' ELSE '' END
+              WHEN json_exists(e, '$.variants') THEN '<' || array_to_string(list_sort(list_transform(from_json(json_extract(e, '$.variants'), '["JSON"]'), lambda v: json_extract_string(v, '$.name') || '=' || json_extract_string(v, '$.value'))), '|') || '>'
+              WHEN json_extract_string(e, '$.max') IS NOT NULL THEN '<max=' || json_extract_string(e, '$.max') || '>' ELSE '' END,
+    CASE WHEN json_exists(e, '$.item') THEN coalesce(',max=' || json_extract_string(e, '$.max'), '') || coalesce(',len=' || json_extract_string(e, '$.len'), '') || '>' ELSE '' END || after,
+    NOT json_exists(e, '$.item')
+  FROM types WHERE NOT done),
+nodes AS (SELECT w.schema_id, w.path, w.parent, w.name, w.pos, coalesce(json_extract_string(w.element, '$.nullable') = 'true', false) AS nullable, t.before || t.after AS kind
+  FROM walk w JOIN types t ON w.schema_id = t.schema_id AND w.path = t.path AND t.done WHERE w.pos >= 0 AND w.path <> '')"""
+
 SQL: dict[str, str] = {
     "p1_found": """
 WITH RECURSIVE scene AS (SELECT DISTINCT msg_id, value FROM scene_messages),
@@ -287,3 +322,31 @@ every AS (SELECT file_id, topic, unnest(range(min(slot), max(slot) + 1)) AS slot
 SELECT file_id, topic, slot FROM every ANTI JOIN slots USING (file_id, topic, slot)""",
 }
 SQL["p5_stream_minutes"] = SQL["p5_minutes"]
+SQL["p1_field_table"] = f"""WITH RECURSIVE {_FIELDS}
+SELECT schema_id, path AS node, parent, name, pos::INTEGER AS pos, kind AS type, nullable FROM nodes"""
+SQL["p2_report"] = f"""WITH RECURSIVE {_FIELDS},
+files AS (SELECT file_id, min(vehicle) AS vehicle, min(started_at) AS started_at FROM mcap_files WHERE started_at IS NOT NULL AND vehicle IS NOT NULL GROUP BY 1),
+chosen AS (SELECT file_id, topic, min(schema_id) AS schema_id FROM topic_schemas GROUP BY 1, 2),
+named AS (SELECT schema_id, any_value(schema_name) AS schema_name, any_value(schema_encoding) AS schema_encoding FROM topic_schemas GROUP BY 1),
+steps AS (SELECT vehicle AS producer, file_id, topic, schema_id, lag(schema_id) OVER w AS before, row_number() OVER w AS seq FROM chosen JOIN files USING (file_id) WINDOW w AS (PARTITION BY vehicle, topic ORDER BY started_at, file_id)),
+came AS (SELECT s.*, n.path, n.parent, n.pos, n.kind, o.kind AS old_kind, o.path IS NOT NULL AS kept FROM steps s JOIN nodes n ON n.schema_id = s.schema_id
+         LEFT JOIN nodes o ON o.schema_id = s.before AND o.path = n.path WHERE s.before IS NOT NULL AND (o.path IS NULL OR o.kind <> n.kind)),
+went AS (SELECT s.*, o.path, o.parent, o.pos, o.kind, n.path IS NOT NULL AS kept FROM steps s JOIN nodes o ON o.schema_id = s.before
+         LEFT JOIN nodes n ON n.schema_id = s.schema_id AND n.path = o.path WHERE n.path IS NULL OR o.kind <> n.kind),
+came_top AS (SELECT * FROM came c WHERE NOT EXISTS (SELECT 1 FROM came a WHERE a.file_id = c.file_id AND a.topic = c.topic AND c.path <> a.path
+         AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[') OR starts_with(c.path, a.path || '{{')))),
+went_top AS (SELECT * FROM went c WHERE NOT EXISTS (SELECT 1 FROM went a WHERE a.file_id = c.file_id AND a.topic = c.topic AND c.path <> a.path
+         AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[') OR starts_with(c.path, a.path || '{{')))),
+pairs AS (SELECT c.file_id, c.topic, c.path, w.path AS old FROM came_top c JOIN went_top w ON c.file_id = w.file_id AND c.topic = w.topic AND c.parent = w.parent AND c.pos = w.pos AND c.kind = w.kind WHERE NOT c.kept AND NOT w.kept)
+SELECT c.producer, c.topic, c.seq, c.file_id, CASE WHEN c.kept THEN 'retyped' WHEN p.old IS NOT NULL THEN 'renamed' ELSE 'added' END AS change, c.path AS field_path,
+  CASE WHEN c.kept THEN c.path ELSE p.old END AS old_path, CASE WHEN c.kept THEN c.old_kind WHEN p.old IS NOT NULL THEN c.kind END AS old_type, c.kind AS new_type
+FROM came_top c LEFT JOIN pairs p ON c.file_id = p.file_id AND c.topic = p.topic AND c.path = p.path
+UNION ALL
+SELECT w.producer, w.topic, w.seq, w.file_id, 'removed', w.path, w.path, w.kind, NULL FROM went_top w
+WHERE NOT w.kept AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.file_id = w.file_id AND p.topic = w.topic AND p.old = w.path)
+UNION ALL
+SELECT s.producer, s.topic, s.seq, s.file_id, 'schema_name', '', '', coalesce('=' || o.schema_name, 'null'), coalesce('=' || n.schema_name, 'null')
+FROM steps s JOIN named n ON n.schema_id = s.schema_id JOIN named o ON o.schema_id = s.before WHERE n.schema_name IS DISTINCT FROM o.schema_name
+UNION ALL
+SELECT s.producer, s.topic, s.seq, s.file_id, 'schema_encoding', '', '', coalesce('=' || o.schema_encoding, 'null'), coalesce('=' || n.schema_encoding, 'null')
+FROM steps s JOIN named n ON n.schema_id = s.schema_id JOIN named o ON o.schema_id = s.before WHERE n.schema_encoding IS DISTINCT FROM o.schema_encoding"""
