@@ -43,14 +43,23 @@ class SchemaPath:
 
     @property
     def dotted(self) -> str:
-        return ".".join(self.names)
+        return ".".join(map(_shown, self.names))
+
+
+#: Between the names of structs on the way to a level (names may hold dots), and the name of a list or map that is itself an element.
+_STEP, _SELF = "\x1f", "[]"
+
+
+def _shown(name: str) -> str:
+    return name.replace(_STEP, ".")
 
 
 def schema_paths(dtype: T.DataType) -> list[SchemaPath]:
     """Repeated levels below ``dtype``, parents before children, in schema order.
 
     A level inside plain structs is named by the fields joined with dots
-    (``pose.covariance``), and its ordinal counts the repeated levels of its parent.
+    (``pose.covariance``), and its ordinal counts the repeated levels of its parent.  A list or map that is an element
+    of another is a level of its own, named ``[]``.
     """
     out: list[SchemaPath] = []
 
@@ -64,7 +73,7 @@ def schema_paths(dtype: T.DataType) -> list[SchemaPath]:
             for f in st.fields:
                 name = f"{prefix}{f.name}"
                 if isinstance(f.dataType, T.StructType):
-                    walk(f.dataType, f"{name}.")
+                    walk(f.dataType, f"{name}{_STEP}")
                 elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
                     is_map = isinstance(f.dataType, T.MapType)
                     el = f.dataType.valueType if is_map else f.dataType.elementType
@@ -73,14 +82,19 @@ def schema_paths(dtype: T.DataType) -> list[SchemaPath]:
                     out.append(SchemaPath(*here, el, is_map))
                     below(el, *here)
 
+        if isinstance(dt, (T.ArrayType, T.MapType)):
+            is_map = isinstance(dt, T.MapType)
+            el = dt.valueType if is_map else dt.elementType
+            out.append(SchemaPath((*names, _SELF), (*ordinals, 0), el, is_map))
+            below(el, (*names, _SELF), (*ordinals, 0))
         walk(dt, "")
 
     below(dtype, (), ())
     return out
 
 
-def _get(c: Column, dotted: str) -> Column:
-    for name in dotted.split("."):
+def _get(c: Column, path: str) -> Column:
+    for name in path.split(_STEP) if path != _SELF else ():
         c = c.getField(name)
     return c
 
@@ -119,7 +133,8 @@ def _tagged(k: int):
 def _render(p: SchemaPath, dewey: Column, depth: int) -> Column:
     parts: list[Column] = []
     for k in range(depth):
-        parts += [F.lit(("." if k else "") + p.names[k] + "["), F.get(dewey, F.lit(2 * k + 1)).cast("string"), F.lit("]")]
+        name = "" if p.names[k] == _SELF else ("." if k else "") + _shown(p.names[k])
+        parts += [F.lit(name + "["), F.get(dewey, F.lit(2 * k + 1)).cast("string"), F.lit("]")]
     return F.concat(*parts) if parts else F.lit("")
 
 
@@ -164,7 +179,7 @@ def labels(df: DataFrame, key: str, value: str, structs_only: bool = False) -> D
 def _scalars(c: Column, dt: T.DataType, prefix: str = "") -> list[Column]:
     """Leaves of ``dt`` that are not repeated, as flat columns named with ``__`` between levels."""
     if not isinstance(dt, T.StructType):
-        return [c.alias(prefix or "item")]
+        return [] if isinstance(dt, (T.ArrayType, T.MapType)) else [c.alias(prefix or "item")]
     out: list[Column] = []
     for f in dt.fields:
         name = f"{prefix}__{f.name}" if prefix else f.name

@@ -49,7 +49,33 @@ def _customer(r: dict) -> tuple[int, dict]:
     return r["c_custkey"], {"custkey": r["c_custkey"], "name": r["c_name"], "nation": r["c_nationkey"], "balance": r["c_acctbal"], "history": [r["c_acctbal"] * k for k in range(r["c_custkey"] % 4)]}
 
 
-TABLES = {"events": (EVENTS, _events), "lineitem": (LINEITEM, _lineitem), "customer": (CUSTOMER, _customer)}
+_KIND = tuple((n, v) for v, n in enumerate(("SMALL", "MIDDLE", "LARGE")))
+_MAKER = struct(field("brand", "String", True), field("price", "F64", True))
+#: Protobuf's repeated, map, enum and unset fields; and CDR's enums, fixed arrays, bounded lists, lists of structs and empty structs.
+PART = (
+    field("partkey", "I64"), field("kind", "Enum", variants=_KIND), field("sizes", "List", item=ir.Element(ir.Type("I32"))), field("codes", "Map", key=ir.Element(ir.Type("String")), item=ir.Element(ir.Type("I64"))),
+    field("maker", _MAKER, True), field("note", "String", True), field("steps", "List", item=ir.Element(struct(field("no", "I32"), field("name", "String")))),
+)
+PART_CDR = (
+    field("flag", "Bool"), field("kind", "Enum", variants=_KIND), field("corner", "Array", item=ir.Element(ir.Type("F64")), size=3), field("nothing", struct()), field("partkey", "I64"),
+    field("few", "BoundedList", item=ir.Element(ir.Type("I16")), size=5), field("steps", "List", item=ir.Element(struct(field("no", "I32"), field("name", "String")))), field("raw", "Bytes"),
+)
+
+
+def _part(r: dict) -> tuple[int, dict]:
+    k = r["p_partkey"]
+    n = k % 4
+    out = {"partkey": k, "kind": _KIND[k % 3][0], "sizes": [r["p_size"] + i for i in range(n)], "codes": {f"c{i}": k * i for i in range(k % 3)}, "steps": [{"no": i, "name": r["p_brand"]} for i in range(k % 3)]}
+    if k % 5:
+        out["maker"] = {"brand": r["p_brand"]} if k % 2 else {"brand": r["p_brand"], "price": r["p_retailprice"]}
+    if n == 1:
+        out["note"] = r["p_name"]
+    return k, out | {"flag": k % 2 == 1, "corner": [float(k), r["p_retailprice"], 0.5], "nothing": {}, "few": [i - 1 for i in range(n)], "raw": r["p_name"].encode()}
+
+
+TABLES = {"events": (EVENTS, _events), "lineitem": (LINEITEM, _lineitem), "customer": (CUSTOMER, _customer), "part": (PART, _part)}
+#: Fields of a table where an encoding has others.
+OTHER = {("part", "ros2idl"): PART_CDR}
 
 
 def _content(path: str) -> tuple[list, int]:
@@ -78,6 +104,8 @@ def written(spark: SparkSession, sf: str, name: str, encoding: str, compression:
         return folder
     os.makedirs(folder, exist_ok=True)
     fields, convert = TABLES[name]
+    fields = OTHER.get((name, encoding), fields)
+    kept = {f.name for f in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -108,6 +136,7 @@ def written(spark: SparkSession, sf: str, name: str, encoding: str, compression:
             for b in batches:
                 for r in b.to_pylist():
                     at, v = convert(r)
+                    v = {k: x for k, x in v.items() if k in kept}
                     topic = f"/{name}/{r[topic_by]}" if topic_by else f"/{name}"
                     if topic not in channels:
                         channels[topic] = w.add_channel(topic, message, s)
@@ -126,7 +155,15 @@ def written(spark: SparkSession, sf: str, name: str, encoding: str, compression:
 def _message(cls, v: dict):
     m = cls()
     for k, x in v.items():
-        if isinstance(x, dict):
+        d = cls.DESCRIPTOR.fields_by_name[k]
+        if isinstance(x, dict) and d.message_type.GetOptions().map_entry:
+            getattr(m, k).update(x)
+        elif d.enum_type is not None:
+            setattr(m, k, d.enum_type.values_by_name[x].number)
+        elif isinstance(x, list) and d.message_type is not None:
+            for e in x:
+                getattr(m, k).add().CopyFrom(_message(d.message_type._concrete_class, e))
+        elif isinstance(x, dict):
             getattr(m, k).CopyFrom(_message(type(getattr(m, k)), x))
         elif isinstance(x, list):
             getattr(m, k).extend(x)
@@ -210,6 +247,31 @@ def scan_topics_of_files(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("topic", "schema_name", "schema_encoding", "decodable").agg(F.sum("message_count").alias("message_count"))
 
 
+def scan_protobuf_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Enums, repeated, map and unset fields of protobuf; of a map what it holds under one key."""
+    df = _read(spark, sf, "part", "protobuf")
+    return df.select(
+        "partkey", "kind", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"), F.size("codes").alias("n_codes"), F.try_element_at("codes", F.lit("c1")).alias("c1"),
+        F.col("maker").isNull().alias("no_maker"), F.col("maker.brand").alias("brand"), F.col("maker.price").alias("price"), "note", F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["no"].cast("string"), s["name"])), ",").alias("steps"),
+    )
+
+
+def scan_idl_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Enums, fixed arrays, bounded lists, lists of structs, empty structs and bytes of CDR."""
+    df = _read(spark, sf, "part", "ros2idl")
+    return df.select(
+        "partkey", "flag", "kind", F.col("corner")[0].alias("corner_0"), F.col("corner")[1].alias("corner_1"), F.size("corner").alias("n_corner"), F.array_join(F.transform("few", lambda x: x.cast("string")), ",").alias("few"),
+        F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["no"].cast("string"), s["name"])), ",").alias("steps"), F.decode("raw", "UTF-8").alias("raw"),
+    )
+
+
+def flatten_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps and lists dropped by policy, structs flattened; what was dropped is reported."""
+    df = _read(spark, sf, "part", "protobuf").select("partkey", "maker", "codes", "sizes")
+    flat, dropped = flatten(df, FlattenPolicy(lists="drop", maps="drop"))
+    return flat.withColumn("dropped", F.lit(",".join(sorted(dropped))))
+
+
 def scan_offset_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The source's own offset and limit, after its time range."""
     return _flat_events(_read(spark, sf, "events", "ros2msg", order="event_id", offset=37, limit=250, startTime=1704153600000000000))
@@ -238,7 +300,7 @@ def write_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("props", F.decode(F.unhex("props"), "UTF-8"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (scan_ros2msg, scan_ros2idl, scan_protobuf, scan_time_range, scan_project_flatten, scan_many_files, scan_catalog, scan_raw, scan_one_of_topics, scan_topics_of_files, scan_offset_limit, write_csv, write_parquet, write_jsonl)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (scan_ros2msg, scan_ros2idl, scan_protobuf, scan_time_range, scan_project_flatten, scan_many_files, scan_catalog, scan_raw, scan_one_of_topics, scan_topics_of_files, scan_protobuf_nested, scan_idl_nested, flatten_map, scan_offset_limit, write_csv, write_parquet, write_jsonl)}
 
 _EVENTS_SQL = "SELECT epoch_us(ts) * 1000 AS log_time, event_id, user_id, event_type, value, props FROM events"
 SQL: dict[str, str] = {
@@ -255,6 +317,13 @@ l_extendedprice AS amounts_price, l_discount AS amounts_discount, l_returnflag A
 SELECT c_custkey AS log_time, c_custkey AS publish_time, (4 + (e + 7) // 8 * 8 + 8 + CASE WHEN k = 0 THEN 4 ELSE 8 + 8 * k END)::BIGINT AS n_bytes, '00010000' AS head, c_custkey AS custkey, c_name AS name, c_nationkey::BIGINT AS nation FROM b""",
     "scan_one_of_topics": f"{_EVENTS_SQL} WHERE event_type = 'click'",
     "scan_topics_of_files": "SELECT '/events/' || event_type AS topic, 'tables/msg/Row' AS schema_name, 'ros2idl' AS schema_encoding, true AS decodable, count(*) AS message_count FROM events GROUP BY 1",
+    "scan_protobuf_nested": """SELECT p_partkey AS partkey, ['SMALL', 'MIDDLE', 'LARGE'][p_partkey % 3 + 1] AS kind, array_to_string(list_transform(range(p_partkey % 4), lambda i: p_size + i), ',') AS sizes,
+(p_partkey % 3)::INTEGER AS n_codes, CASE WHEN p_partkey % 3 = 2 THEN p_partkey END AS c1, p_partkey % 5 = 0 AS no_maker, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand,
+CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 4 = 1 THEN p_name END AS note,
+array_to_string(list_transform(range(p_partkey % 3), lambda i: i || ':' || p_brand), ',') AS steps FROM part""",
+    "scan_idl_nested": """SELECT p_partkey AS partkey, p_partkey % 2 = 1 AS flag, ['SMALL', 'MIDDLE', 'LARGE'][p_partkey % 3 + 1] AS kind, p_partkey::DOUBLE AS corner_0, p_retailprice AS corner_1, 3 AS n_corner,
+array_to_string(list_transform(range(p_partkey % 4), lambda i: i - 1), ',') AS few, array_to_string(list_transform(range(p_partkey % 3), lambda i: i || ':' || p_brand), ',') AS steps, p_name AS raw FROM part""",
+    "flatten_map": """SELECT p_partkey AS partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS "maker.brand", CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN p_retailprice END AS "maker.price", 'codes,sizes' AS dropped FROM part""",
     "scan_offset_limit": f"{_EVENTS_SQL} WHERE epoch_us(ts) >= 1704153600000000 ORDER BY event_id LIMIT 250 OFFSET 37",
     "write_csv": """SELECT l_orderkey * 10 + l_linenumber AS log_time, l_orderkey AS "keys.order", l_partkey AS "keys.part", l_linenumber AS "keys.line", l_quantity AS "amounts.quantity",
 l_extendedprice AS "amounts.price", l_discount AS "amounts.discount", l_returnflag AS flag, l_linestatus AS status FROM lineitem""",

@@ -93,12 +93,15 @@ def idl_text(fields: tuple[Field, ...], package: str, name: str) -> str:
             return f"sequence<uint8{f', {t.size}' if t.size else ''}>"
         if t.kind == "BoundedString":
             return f"string<{t.size}>"
+        if t.kind == "Enum" and t not in names:
+            names[t] = f"{f.name.title().replace('_', '')}T{len(names)}"
+            structs.append(f"enum {names[t]} {{ " + ", ".join(f"@value({v}) {n}" for n, v in t.variants) + " };")
         if t.kind == "Struct":
             if t not in names:
                 names[t] = f"{f.name.title().replace('_', '')}T{len(names)}"
                 structs.append(declare(names[t], t.fields))
             return names[t]
-        return _IDL[t.kind]
+        return names.get(t) or _IDL[t.kind]
 
     def declare(n: str, fs: tuple[Field, ...]) -> str:
         lines = []
@@ -121,11 +124,24 @@ def proto_file(fields: tuple[Field, ...], package: str, name: str) -> descriptor
     def fill(m: descriptor_pb2.DescriptorProto, path: str, fs: tuple[Field, ...]) -> None:
         for k, x in enumerate(fs, 1):
             t, label = x.element.type, 1
+            inner = x.name.title().replace("_", "") + "T"
             if t.kind == "List":
                 t, label = t.item.type, 3
+            elif t.kind == "Map":
+                # As the compiler does: a list of entries of a nested type.
+                inner = x.name.title().replace("_", "") + "Entry"
+                m.field.add(name=x.name, number=k, label=3, type=11, type_name=f"{path}.{inner}")
+                entry = m.nested_type.add(name=inner)
+                entry.options.map_entry = True
+                fill(entry, f"{path}.{inner}", (Field("key", t.key), Field("value", t.item)))
+                continue
             d = m.field.add(name=x.name, number=k, label=label)
-            if t.kind == "Struct":
-                inner = x.name.title().replace("_", "") + "T"
+            if t.kind == "Enum":
+                e = m.enum_type.add(name=inner)
+                for n, v in t.variants:
+                    e.value.add(name=n, number=v)
+                d.type, d.type_name = 14, f"{path}.{inner}"
+            elif t.kind == "Struct":
                 fill(m.nested_type.add(name=inner), f"{path}.{inner}", t.fields)
                 d.type, d.type_name = 11, f"{path}.{inner}"
             else:

@@ -63,3 +63,19 @@ def test_type_signature_ignores_own_fields_and_nullable():
     assert dewey.type_signature({"data_type": "BoundedString", "max": 5}) != dewey.type_signature({"data_type": "BoundedString", "max": 6})
     e = {"data_type": "Enum", "variants": [{"name": "A", "value": 1}, {"value": 2, "name": "B"}]}
     assert dewey.type_signature(e) == dewey.type_signature({"data_type": "Enum", "variants": list(reversed(e["variants"]))})
+
+
+def test_lists_of_lists_and_names_with_dots(spark):
+    """Structs inside lists of lists and maps of lists are reached; a dot in a name is no step."""
+    kind = "id bigint, v struct<grid: array<array<struct<x: int>>>, by: map<string, array<struct<y: int>>>, `a.b`: array<struct<`c.d`: int>>, s: struct<l: array<int>>>"
+    v = {"grid": [[{"x": 1}, None, {"x": 3}], None, [], [{"x": 4}]], "by": {"k": [{"y": 7}]}, "a.b": [{"c.d": 5}], "s": {"l": [8]}}
+    df = spark.createDataFrame([(1, v), (2, None)], kind)
+    got = {(r.schema_path, r.node, r.parent) for r in dewey.labels(df, "id", "v").collect()}
+    assert got == {
+        ("grid", "grid[0]", ""), ("grid", "grid[2]", ""), ("grid", "grid[3]", ""), ("grid.[]", "grid[0][0]", "grid[0]"), ("grid.[]", "grid[0][2]", "grid[0]"), ("grid.[]", "grid[3][0]", "grid[3]"),
+        ("by", "by[0]", ""), ("by.[]", "by[0][0]", "by[0]"), ("a.b", "a.b[0]", ""), ("s.l", "s.l[0]", ""),
+    }
+    t = dewey.shred(df, "id", "v")
+    assert rows(t["grid.[]"].select("_parent", "_pos", "x")) == [([0, 0], 0, 1), ([0, 0], 2, 3), ([0, 3], 0, 4)]
+    assert rows(t["by.[]"].select("y")) == [(7,)] and rows(t["a.b"].select("`c.d`")) == [(5,)] and rows(t["s.l"].select("item")) == [(8,)]
+    assert rows(t["by"].select("_entry_key", "_pos")) == [("k", 0)]
