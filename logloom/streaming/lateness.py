@@ -73,10 +73,12 @@ def stream_windows(messages: DataFrame, source: list[str], window_ns: int = 60 *
         top, start, first, late, size, seen, ids, id_at = state.get if state.exists else (None, [], [], [], [], None, [], [])
         new = pd.concat(list(frames), ignore_index=True)
         lacking = (new["no_msg_id"] | new["no_log_time"]).to_numpy(bool) | any(pd.isna(k) for k in key)
-        out = [_apart("invalid", new[lacking])]
-        new = new[~lacking].sort_values(["log_time", "msg_id", "publish_time", "n_bytes"], kind="stable").drop_duplicates("msg_id")
+        # Most sources set nothing apart, and an empty frame costs as much as a full one.
+        out = [_apart("invalid", new[lacking])] if lacking.any() else []
+        new = (new[~lacking] if out else new).sort_values(["log_time", "msg_id", "publish_time", "n_bytes"], kind="stable").drop_duplicates("msg_id")
         known, known_at = np.array(ids, np.int64), np.array(id_at, np.int64)
-        new = new[~np.isin(new["msg_id"].to_numpy(np.int64), known)]
+        if len(known):
+            new = new[~np.isin(new["msg_id"].to_numpy(np.int64), known)]
         log, pub = new["log_time"].to_numpy(np.int64), new["publish_time"].to_numpy(np.int64)
         old = np.zeros(len(new), bool)
         if within is not None and len(new):
@@ -90,14 +92,17 @@ def stream_windows(messages: DataFrame, source: list[str], window_ns: int = 60 *
             held = known_at >= (seen if seen is not None else _LEAST) - within if len(known_at) else np.zeros(0, bool)
             known, known_at = known[held], known_at[held]
         bad = new["no_publish_time"].to_numpy(bool) | (pub == 0) | (pub > log + max_ahead_ns)
-        out.append(_apart("invalid", new[bad]))
-        good, pub, old = new[~bad], pub[~bad], old[~bad]
+        good = new
+        if bad.any():
+            out.append(_apart("invalid", new[bad]))
+            good, pub, old = new[~bad], pub[~bad], old[~bad]
         # The watermark before each message; one that is set apart never raises it.
         marks = np.maximum.accumulate(np.r_[_LEAST if top is None else top, np.where(old, _LEAST, pub)])
         behind = np.where(marks[:-1] == _LEAST, 0, np.maximum(marks[:-1] - pub, 0))
         at = pub // window_ns * window_ns
         drop = old | (behind > lateness_ns)
-        out.append(_apart("dropped", good[drop], at[drop], behind[drop]))
+        if drop.any():
+            out.append(_apart("dropped", good[drop], at[drop], behind[drop]))
         if len(marks) > 1 and marks[-1] != _LEAST:
             top = int(marks[-1])
         open_ = {s: [f, n, b] for s, f, n, b in zip(start, first, late, size, strict=True)}
