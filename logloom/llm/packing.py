@@ -25,10 +25,12 @@ table gives no containers; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +58,12 @@ def encoder(vocabulary: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, tokens)`` of every document with a text."""
+    """``(doc_id, tokens)`` of every document with a text.  The vocabulary travels to machines that have no such file."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     src = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])

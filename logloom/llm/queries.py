@@ -27,7 +27,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_pairs(spark, sf).select("sweep_id", "frame_id")
 
 
-#: Vocabulary that texts are measured with; the file must be readable on every executor.
+#: Vocabulary that texts are measured with; shipped to machines that lack the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 

@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from logloom.llm import packing as pk
@@ -93,6 +95,7 @@ def test_token_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.tokens for r in pk.token_counts(df, VOCABULARY).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts) if t is not None}
+    assert os.path.exists(SparkFiles.get(os.path.basename(VOCABULARY)))
     assert got[0] == 0 and enc.decode(enc.encode_ordinary(texts[3])) == texts[3]
 
 
