@@ -281,15 +281,17 @@ def _judge_sorted(min_run: int, max_spike: int, factor: float) -> Callable[[Iter
     return _by_segment(done)
 
 
-_COUNTS = pa.schema([("file_id", pa.int64()), ("topic", pa.string()), ("kind", pa.int32()), ("bin", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("file_id", pa.int64()), ("topic", pa.string()), ("kind", pa.int32()), ("bin", pa.int64()), ("n", pa.int64()), ("value", pa.float64())])
+#: Kinds of counts: remainders, differences, the source's least step, its segments, its distinct values.
+_REST, _STEP, _QUANTUM, _SEGMENT, _VALUE = range(5)
 
 
 def _count_sorted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per segment the counted remainders (kind 0) and successive differences (kind 1) of its own plausible readings."""
+    """Per segment of a cut source the counted remainders and successive differences of its own plausible readings, its number and their distinct values."""
 
     def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
         x, own = t.column("reading").to_numpy(), t.column("own").to_numpy()
-        file, topic = t.column("file_id").to_numpy(), t.column("topic")
+        file, topic, seg = t.column("file_id").to_numpy(), t.column("topic"), t.column("seg").to_numpy()
         lo, hi = _bounds(t)
         out = []
         for a, b in zip(at[:-1], at[1:], strict=True):
@@ -298,8 +300,12 @@ def _count_sorted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             if not len(y):
                 continue
             _, season, rest = decompose(y)
-            for kind, (bins, n) in enumerate((counted(rest[mine]), counted(np.diff(y - season)[mine[1:]]))):
-                out.append(pa.Table.from_arrays([pa.array(np.full(len(n), file[a])), pa.array([topic[a].as_py()] * len(n), pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(bins.astype(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNTS))
+            parts = [(_REST, *counted(rest[mine]), None), (_STEP, *counted(np.diff(y - season)[mine[1:]]), None), (_SEGMENT, np.array([seg[a]]), np.ones(1, int), None)]
+            values = np.unique(y[mine])
+            parts.append((_VALUE, np.zeros(len(values), int), np.ones(len(values), int), values))
+            for kind, bins, n, v in parts:
+                m = len(n)
+                out.append(pa.Table.from_arrays([pa.array(np.full(m, file[a])), pa.array([topic[a].as_py()] * m, pa.string()), pa.array(np.full(m, kind, np.int32)), pa.array(bins.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.float64()) if v is None else pa.array(v)], schema=_COUNTS))
         batches = pa.concat_tables([_COUNTS.empty_table(), *out]).combine_chunks().to_batches()
         return batches[0] if batches else pa.RecordBatch.from_pylist([], _COUNTS)
 
@@ -307,30 +313,30 @@ def _count_sorted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def _usual_of(counts: pd.DataFrame) -> pd.DataFrame:
-    rest, steps = ((c["bin"].to_numpy(), c["n"].to_numpy().astype(np.int64)) for c in (counts[counts["kind"] == 0], counts[counts["kind"] == 1]))
-    quantum = counts.loc[counts["kind"] == 2, "n"].min()
-    first = counts.iloc[0]
+    rest, steps = ((c["bin"].to_numpy(), c["n"].to_numpy().astype(np.int64)) for c in (counts[counts["kind"] == _REST], counts[counts["kind"] == _STEP]))
+    quantum = counts.loc[counts["kind"] == _QUANTUM, "n"].min()
+    segments, first = counts.loc[counts["kind"] == _SEGMENT, "bin"].to_numpy(), counts.iloc[0]
     got = usual(rest, steps, 0.0 if pd.isna(quantum) else float(quantum)) if len(rest[0]) else (0.0, 0.0, np.inf)
-    return pd.DataFrame([(first["file_id"], first["topic"], *got)], columns=["file_id", "topic", "scatter", "centre", "limit"])
+    return pd.DataFrame([(first["file_id"], first["topic"], k, *got) for k in segments], columns=["file_id", "topic", "seg", "scatter", "centre", "limit"])
 
 
-def _usuals(large: DataFrame, sorted_parts: DataFrame) -> DataFrame:
-    """``(file_id, topic, scatter, centre, limit)`` of every source that is cut.
+def _usuals(cut: DataFrame) -> DataFrame:
+    """``(file_id, topic, seg, scatter, centre, limit)`` of every segment of the sources that are cut, given sorted.
 
     A source's counts are a bounded number of bins; they are added up before they meet.
     """
     keys = ["file_id", "topic"]
-    counts = sorted_parts.mapInArrow(_count_sorted(), "file_id bigint, topic string, kind int, bin bigint, n bigint").groupBy(*keys, "kind", "bin").agg(F.sum("n").cast("double").alias("n"))
+    told = cut.mapInArrow(_count_sorted(), "file_id bigint, topic string, kind int, bin bigint, n bigint, value double")
+    counts = told.where(F.col("kind") != _VALUE).groupBy(*keys, "kind", "bin").agg(F.sum("n").cast("double").alias("n"))
     # The least step between plausible values: inside and between ranges of values, each small enough for a task.
-    plausible = F.col("own") & (F.col("reading") >= F.coalesce("lo", F.lit(float("-inf")))) & (F.col("reading") <= F.coalesce("hi", F.lit(float("inf"))))
-    values = large.where(plausible).select(*keys, "reading").distinct()
+    values = told.where(F.col("kind") == _VALUE).select(*keys, F.col("value").alias("reading")).distinct()
     octave = F.when(F.col("reading") == 0, 0.0).otherwise(F.signum("reading") * (F.floor(F.log2(F.abs("reading")) * 64) + 1e6))
     inside = values.withColumn("range", octave).withColumn("step", F.col("reading") - F.lag("reading").over(Window.partitionBy(*keys, "range").orderBy("reading")))
     ranges = inside.groupBy(*keys, "range").agg(F.min("reading").alias("least"), F.max("reading").alias("most"), F.min("step").alias("step"))
     gaps = ranges.withColumn("gap", F.col("least") - F.lag("most").over(Window.partitionBy(*keys).orderBy("least")))
     quanta = gaps.groupBy(*keys).agg(F.min(F.least("step", "gap")).alias("n")).where("n is not null")
-    every = counts.unionByName(quanta.select(*keys, F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("bin"), "n"))
-    return every.groupBy(*keys).applyInPandas(_usual_of, "file_id bigint, topic string, scatter double, centre double, limit double")
+    every = counts.unionByName(quanta.select(*keys, F.lit(_QUANTUM).alias("kind"), F.lit(0).cast("bigint").alias("bin"), "n"))
+    return every.groupBy(*keys).applyInPandas(_usual_of, "file_id bigint, topic string, seg bigint, scatter double, centre double, limit double")
 
 
 def segmented(rows: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
@@ -374,8 +380,7 @@ def flag(readings: DataFrame, limits: DataFrame, min_run: int = 10, max_spike: i
     dealt = parts.repartition(n, *order[:3])
     # Where a partition is asked for, the condition stays above the exchange, so that both uses share it.
     cut = dealt.where(F.when(F.spark_partition_id() >= 0, F.col("n_seg")) > 1)
-    segs = cut.groupBy(*order[:3]).agg(F.count(F.lit(1)).alias("_rows"))
-    usuals = segs.join(_usuals(cut, cut.sortWithinPartitions(*order)), ["file_id", "topic"]).select(*order[:3], "scatter", "centre", "limit")
+    usuals = _usuals(cut.sortWithinPartitions(*order))
     known = dealt.join(usuals, order[:3], "left")
     own = [F.when(F.col("n_seg") == 1, float("nan")).otherwise(F.coalesce("scatter", F.lit(0.0))).alias("scatter"), F.coalesce("centre", F.lit(0.0)).alias("centre"), F.coalesce("limit", F.lit(float("inf"))).alias("limit")]
     return known.select(*order, "reading", "lo", "hi", "own", *own).sortWithinPartitions(*order).mapInArrow(_judge_sorted(min_run, max_spike, factor), _ROWS)
