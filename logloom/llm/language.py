@@ -8,13 +8,13 @@ penalty per language (a small language set explains the text unless a further
 language really earns its place).  A cell's language is that of most of its prose
 under the final responsibilities, its confidence their share; likewise for the document.
 
-The n-gram model is fitted on the labelled samples and then once more on a
-bounded sample of about ``ADAPT_DOCS`` labelled documents, taking only cells where label
-and first model agree; of a table in files the sample is taken from a few of them, so that the
-corpus is read once.  What such cells score per letter under a model fitted on the other half of the
-sample sets the level below which a text is in none of the known languages: its language is ``und``.
-Everything else covers all documents.  The corpus is
-never shuffled: one pass labels it, the model (``BUCKETS`` by languages) travels.
+The n-gram model is fitted on all labelled samples and then once more on all
+labelled documents, taking only cells where label and first model agree.  What such cells
+score per letter under a model fitted on the other half of the documents sets the level
+below which a text is in none of the known languages: its language is ``und``.
+The corpus is read twice, as no cell can be scored before all are counted: one pass counts,
+the other labels and scores.  It is never shuffled; the models (``BUCKETS`` by languages)
+travel, and the labels are kept in a checkpoint until the levels are known.
 
 Texts are lower-cased and stripped of accents (composed, decomposed or missing
 accents thus count the same); fenced and inline code, formulas, links and tags
@@ -37,18 +37,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.session import spread
+from logloom.session import checkpointed, spread
 
 BUCKETS = 1 << 16
-#: Labelled documents the model is adapted on, about; and rows of the labelled samples at most.
-ADAPT_DOCS, SAMPLE_ROWS = 4000, 50_000
-#: Files the sample is taken from; letters a cell must have to tell what texts score, share of such cells that may lie below the level, and its distance from them.
-SAMPLE_FILES, TELLING, RARE, MARGIN = 4, 60, 0.001, 0.4
-#: Confirmed cells a language needs in the sample, or nothing is known of what its texts score and it has no level.
+#: Letters a cell must have to tell what texts score, share of such cells that may lie below the level, and its distance from them.
+TELLING, RARE, MARGIN = 60, 0.001, 0.4
+#: Scores are counted in steps of this, so that what the driver gets does not grow with the corpus.
+STEP = 1e-4
+#: Confirmed cells a language needs, or nothing is known of what its texts score and it has no level.
 LEAST_CELLS = 30
 UNKNOWN = "und"
 
@@ -144,6 +143,22 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _summed(texts: list[str], weights: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], width: int) -> np.ndarray:
+    """Sums over the grams of each text of the ``width`` weights that are given for (buckets, texts they belong to).
+
+    A letter takes part in three grams of each length, so a third of the sum is taken for the text's.
+    """
+    out = np.zeros((len(texts), width))
+    for a, b in _chunks(texts):
+        bucket, owner = _grams(texts[a:b])
+        if not len(bucket):
+            continue
+        head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])  # owners ascend within each length of grams
+        for j, w in enumerate(weights(bucket, owner + a)):
+            out[a:b, j] = np.bincount(owner[head], np.add.reduceat(w, head), b - a)
+    return out / 6
+
+
 def count_grams(texts: list[str]) -> np.ndarray:
     total = np.zeros(BUCKETS, int)
     for a, b in _chunks(texts):
@@ -155,7 +170,6 @@ def count_grams(texts: list[str]) -> np.ndarray:
 class Model:
     langs: list[str]
     table: np.ndarray  # log likelihood of a bucket, by language
-    floor: np.ndarray | float = -np.inf  # by language, score per letter below which a text is not in it
 
     @staticmethod
     def fit(counts: dict[str, np.ndarray], smooth: float = 0.5) -> Model:
@@ -168,17 +182,15 @@ class Model:
         table = np.log((share * total + mass * prior) / (total + mass)) - np.log(prior)
         return Model(langs, table.astype(np.float32))
 
-    def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood ratio of each text under each language.
+    def weights(self) -> Callable[[np.ndarray], Iterator[np.ndarray]]:
+        """Log likelihoods of buckets, language after language."""
+        columns = np.ascontiguousarray(self.table.T, float)
+        return lambda bucket: (c[bucket] for c in columns)
 
-        A letter takes part in three grams of each length, so a third of the sum is taken for the text's.
-        """
-        out = np.zeros((len(texts), len(self.langs)))
-        for a, b in _chunks(texts):
-            bucket, owner = _grams(texts[a:b])
-            for j in range(len(self.langs) if len(bucket) else 0):
-                out[a:b, j] = np.bincount(owner, self.table[bucket, j], b - a)
-        return out / 6
+    def likelihoods(self, texts: list[str]) -> np.ndarray:
+        """Log likelihood ratio of each text under each language."""
+        own = self.weights()
+        return _summed(texts, lambda bucket, _: own(bucket), len(self.langs))
 
 
 def mixtures(like: np.ndarray, size: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = 3.0, rounds: int = 6) -> np.ndarray:
@@ -245,43 +257,63 @@ def _split(b: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, list[l
     return sent, np.array(doc, int), np.array(cell, int), numbers
 
 
-_SPANS = pa.list_(pa.struct([("cell_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("cell_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64()), ("score", pa.float64())]))
+_TOLD = pa.struct([("lang", pa.int32()), ("step", pa.int32())])
+
 
+def _label(model: Model, first: Model, halves: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Labels with their scores per letter; ``told`` is what the document's confirmed cells score under the model of the other fold."""
+    n_lang = len(model.langs)
+    number = {g: k for k, g in enumerate(model.langs)}
 
-def _label(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        final, sure = model.weights(), first.weights()
+        # A cell of fold 0 is scored by the model of fold 1, and the other way round.
+        other = np.stack([halves[1].table, halves[0].table]).astype(float)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 sent, doc, cell, numbers = _split(b)
+                said = [canonical(x) for x in b.column("lang").to_pylist()]
+                stated = np.array([number.get(g, -1) for g in said], int)
+                side, own = b.column("fold").to_numpy()[doc], stated[doc]
+
+                def weights(bucket: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+                    yield from final(bucket)
+                    yield from sure(bucket)
+                    yield other[side[owner], bucket, own[owner]]
+
+                sums = _summed(sent, weights, 2 * n_lang + 1)
+                like, before, cross = sums[:, :n_lang], sums[:, n_lang:-1], sums[:, -1]
                 size = np.array([amount(s) for s in sent], float)
-                like = model.likelihoods(sent) if sent else np.zeros((0, len(model.langs)))
                 r = mixtures(like, size, doc, b.num_rows) if sent else like
                 votes = r * size[:, None] if len(r) else r
                 start = np.cumsum([0, *map(len, numbers)])
                 at = start[doc] + cell if len(doc) else np.empty(0, int)
-                by_cell = np.stack([np.bincount(at, votes[:, j], start[-1]) for j in range(len(model.langs))], 1) if len(at) else np.zeros((start[-1], len(model.langs)))
-                by_doc = np.stack([np.bincount(doc, votes[:, j], b.num_rows) for j in range(len(model.langs))], 1) if len(doc) else np.zeros((b.num_rows, len(model.langs)))
-
                 letters = np.array([len(s) for s in sent], float)
 
-                def scores(key: np.ndarray, n: int) -> np.ndarray:
-                    """Per letter of what is taken for a language, under that language."""
-                    if not len(key):
-                        return np.zeros((n, len(model.langs)))
-                    return np.stack([np.bincount(key, r[:, j] * like[:, j], n) / np.maximum(np.bincount(key, r[:, j] * letters, n), 1e-9) for j in range(like.shape[1])], 1)
-
-                def best(v: np.ndarray, score: np.ndarray) -> tuple[list[str | None], list[float], list[int]]:
-                    total = v.sum(1)
-                    top = v.argmax(1)
-                    known = score[np.arange(len(top)), top] >= np.broadcast_to(model.floor, len(model.langs))[top]
-                    return [(model.langs[k] if ok else UNKNOWN) if t > 0 else None for k, t, ok in zip(top, total, known, strict=True)], [float(x) for x in np.where(total > 0, v.max(1) / np.maximum(total, 1e-12), 0.0)], [round(x) for x in total]
-
-                cl, cc, cn = best(by_cell, scores(at, int(start[-1])))
-                dl, dc, _ = best(by_doc, scores(doc, b.num_rows))
-                spans = [[{"cell_no": no, "lang": cl[k], "confidence": cc[k], "letters": cn[k]} for no, k in zip(nos, range(start[d], start[d + 1]), strict=True)] for d, nos in enumerate(numbers)]
-                labels = pa.array([canonical(x) for x in b.column("lang").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), labels, pa.array(dl, pa.string()), pa.array(dc, pa.float64()), pa.array(spans, _SPANS)], ["doc_id", "label", "lang", "confidence", "cells"])
+                def by(key: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+                    return np.stack([np.bincount(key, v[:, j], n) for j in range(n_lang)], 1) if len(key) else np.zeros((n, n_lang))
+
+                def best(key: np.ndarray, n: int) -> tuple[list[str | None], list[float], list[int], list[float]]:
+                    """Language, confidence, letters, and score per letter of what is taken for the language, under it."""
+                    v = by(key, votes, n)
+                    total, top = v.sum(1), v.argmax(1)
+                    score = by(key, r * like, n) / np.maximum(by(key, r * letters[:, None], n), 1e-9)
+                    return [model.langs[k] if t > 0 else None for k, t in zip(top, total, strict=True)], np.where(total > 0, v.max(1) / np.maximum(total, 1e-12), 0.0).tolist(), [round(x) for x in total], score[np.arange(n), top].tolist()
+
+                cl, cc, cn, cs = best(at, int(start[-1]))
+                dl, dc, _, ds = best(doc, b.num_rows)
+                spans = [[{"cell_no": no, "lang": cl[k], "confidence": cc[k], "letters": cn[k], "score": cs[k]} for no, k in zip(nos, range(start[d], start[d + 1]), strict=True)] for d, nos in enumerate(numbers)]
+
+                owner = np.repeat(np.arange(b.num_rows), np.diff(start))
+                long = np.bincount(at, letters, start[-1])
+                tell = (by(at, before, int(start[-1])).argmax(1) == stated[owner]) & (long >= TELLING)
+                step = np.floor(np.bincount(at, cross, start[-1])[tell] / long[tell] / STEP).astype(np.int32)
+                heads = np.cumsum(np.r_[0, np.bincount(owner[tell], minlength=b.num_rows)]).astype(np.int32)
+                told = pa.ListArray.from_arrays(pa.array(heads), pa.StructArray.from_arrays([pa.array(stated[owner[tell]], pa.int32()), pa.array(step)], fields=list(_TOLD)))
+                columns = [b.column("doc_id"), pa.array(said, pa.string()), pa.array(dl, pa.string()), pa.array(dc, pa.float64()), pa.array(ds, pa.float64()), pa.array(spans, _SPANS), told]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "lang", "confidence", "score", "cells", "told"])
 
     return run
 
@@ -300,6 +332,26 @@ def _confirmed(model: Model, b: pa.RecordBatch) -> tuple[list[str], np.ndarray,
     return sent, at.ravel(), np.where(right, guess, -1), b.column("fold").to_numpy()[key[0]]
 
 
+_COUNTS = "fold int, lang string, bucket int, n bigint"
+
+
+def _sparse(total: dict[tuple[int, str], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for (f, g), c in total.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), pa.int32()), pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["fold", "lang", "bucket", "n"])
+
+
+def _totals(rows: DataFrame) -> dict[tuple[int, str], np.ndarray]:
+    """n-gram counts by fold and language, summed over all tasks; at most ``BUCKETS`` rows of each come to the driver."""
+    got = rows.groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = {}
+    for f, g in (x.values() for x in got.group_by(["fold", "lang"]).aggregate([]).to_pylist()):
+        part = got.filter(pc.and_(pc.equal(got.column("lang"), g), pc.equal(got.column("fold"), f)))
+        out[f, g] = np.zeros(BUCKETS, int)
+        out[f, g][part.column("bucket").to_numpy()] = part.column("n").to_numpy()
+    return out
+
+
 def _agreeing(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """n-gram counts per fold and language of the cells whose label the first model confirms."""
 
@@ -313,81 +365,61 @@ def _agreeing(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     grouped.setdefault((int(fold[k]), model.langs[lang[k]]), []).append(s)
             for g, texts in grouped.items():
                 total[g] = total.get(g, 0) + count_grams(texts)
-        for (f, g), c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), pa.int32()), pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["fold", "lang", "bucket", "n"])
+        yield from _sparse(total)
 
     return run
 
 
-def _scoring(model: Model, halves: list[Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What confirmed cells score per letter under the model of the other fold."""
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram counts per language of labelled samples."""
+    total: dict[tuple[int, str], np.ndarray] = {}
+    for b in batches:
+        grouped: dict[str, list[str]] = {}
+        for label, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if canonical(label) and text:
+                grouped.setdefault(canonical(label), []).extend(sentences(text))
+        for g, texts in grouped.items():
+            if texts:
+                total[0, g] = total.get((0, g), 0) + count_grams(texts)
+    yield from _sparse(total)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sent, at, lang, fold = _confirmed(model, b)
-            if not sent:
-                continue
-            like = [h.likelihoods(sent) for h in halves]
-            score = np.where(fold[at] == 0, *[x[np.arange(len(at)), np.maximum(lang[at], 0)] for x in like])
-            letters = np.bincount(at, [len(s) for s in sent])
-            mean = np.bincount(at, score) / letters
-            tell = (lang >= 0) & (letters >= TELLING)
-            yield pa.RecordBatch.from_arrays([pa.array(lang[tell].astype(np.int32)), pa.array(mean[tell])], ["lang", "score"])
 
-    return run
+def _source(docs: DataFrame) -> DataFrame:
+    """What the passes read: of the cells only the text cells; ``fold`` is the half of the documents each is in, by a hash of its id."""
+    fold = F.pmod(F.shiftright(F.xxhash64("doc_id"), 32), F.lit(2)).cast("int").alias("fold")
+    return spread(docs.select(fold, "doc_id", "lang", "text", F.expr("filter(cells, c -> c.kind = 'text')").alias("cells")))
 
 
-def _source(docs: DataFrame, *more: str) -> DataFrame:
-    """What the passes read: of the cells only the text cells."""
-    return spread(docs.select(*more, "doc_id", "lang", "text", F.expr("filter(cells, c -> c.kind = 'text')").alias("cells")))
+def sample_counts(samples: DataFrame) -> dict[str, np.ndarray]:
+    """n-gram counts per language of all labelled samples."""
+    return {g: c for (_, g), c in _totals(spread(samples.select("lang", "text")).mapInArrow(_said, _COUNTS)).items()}
 
 
-def sample_counts(samples: DataFrame) -> dict[str, np.ndarray]:
-    """n-gram counts per language of the labelled samples, at most ``SAMPLE_ROWS`` of them."""
-    by: dict[str, list[str]] = {}
-    for r in samples.select("lang", "text").limit(SAMPLE_ROWS).collect():
-        if canonical(r.lang) and r.text:
-            by.setdefault(canonical(r.lang), []).extend(sentences(r.text))
-    return {g: count_grams(t) for g, t in by.items() if t}
-
-
-def sampled(docs: DataFrame) -> DataFrame:
-    """About ``ADAPT_DOCS`` documents chosen by a hash of their id, from a few files where the table has many; with the ``fold`` each is in."""
-    files = sorted(docs.inputFiles())
-    if len(files) > SAMPLE_FILES:
-        step = len(files) / SAMPLE_FILES
-        try:
-            docs = docs.where(F.col("_metadata.file_path").isin([files[int(k * step)] for k in range(SAMPLE_FILES)]))
-            docs.schema  # analysed here: a frame that was reshaped no longer knows its files
-        except AnalysisException:
-            pass
-    share = min(1.0, ADAPT_DOCS / max(docs.count(), 1))
-    hashed = F.xxhash64("doc_id")
-    picked = docs.where(F.pmod(hashed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return _source(picked.withColumn("fold", F.pmod(F.shiftright(hashed, 32), F.lit(2)).cast("int")), "fold")
-
-
-def adapted(counts: dict[str, np.ndarray], docs: DataFrame) -> Model:
-    """The samples' model, fitted again with the agreeing cells of ``sampled`` documents, and with the level of unknown languages.
-
-    Only sums per language and bucket, and one score per cell of the sample, come to the driver, whatever the number of documents.
+def adapted(counts: dict[str, np.ndarray], docs: DataFrame) -> tuple[Model, Model, list[Model]]:
+    """The samples' model, the model fitted again with the agreeing cells of all documents, and such models of either half of them.
+
+    Only sums per fold, language and bucket come to the driver, whatever the number of documents.
     """
-    first, picked = Model.fit(counts), sampled(docs)
-    rows = picked.mapInArrow(_agreeing(first), "fold int, lang string, bucket int, n bigint").groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n"))
-    halves = [{g: c.copy() for g, c in counts.items()} for _ in range(2)]
-    got = rows.toArrow()
-    for f, total in enumerate(halves):
-        for g in total:
-            part = got.filter(pc.and_(pc.equal(got.column("lang"), g), pc.equal(got.column("fold"), f)))
-            np.add.at(total[g], part.column("bucket").to_numpy(), part.column("n").to_numpy())
-    model = Model.fit({g: halves[0][g] + halves[1][g] - counts[g] for g in counts})
-    # A cell of fold 0 is scored by the model of fold 1, and the other way round.
-    told = picked.mapInArrow(_scoring(first, [Model.fit(halves[1]), Model.fit(halves[0])]), "lang int, score double").toArrow()
-    lang, score = told.column("lang").to_numpy(), told.column("score").to_numpy()
-    enough = np.bincount(lang, minlength=len(model.langs)) >= LEAST_CELLS
-    model.floor = np.array([np.quantile(score[lang == k], RARE) - MARGIN if ok else -np.inf for k, ok in enumerate(enough)])
-    return model
+    first = Model.fit(counts)
+    got = _totals(_source(docs).mapInArrow(_agreeing(first), _COUNTS))
+    halves = [{g: c + got.get((f, g), 0) for g, c in counts.items()} for f in range(2)]
+    return first, Model.fit({g: halves[0][g] + halves[1][g] - c for g, c in counts.items()}), [Model.fit(h) for h in halves]
+
+
+def levels(told: DataFrame, langs: list[str]) -> dict[str, float]:
+    """Score per letter below which a text is not in a language, from the ``(lang, step)`` of all cells that tell."""
+    got = told.groupBy("lang", "step").count().toArrow()
+    lang, step, n = (got.column(c).to_numpy() for c in ("lang", "step", "count"))
+    out = {}
+    for k, g in enumerate(langs):
+        own = np.flatnonzero(lang == k)
+        own = own[step[own].argsort()]
+        upto = n[own].cumsum()
+        if len(own) and upto[-1] >= LEAST_CELLS:
+            place = RARE * (upto[-1] - 1)
+            low, high = (step[own][upto.searchsorted(int(x), "right")] * STEP for x in (np.floor(place), np.ceil(place)))
+            out[g] = float(low + (place - np.floor(place)) * (high - low) - MARGIN)
+    return out
 
 
 def label_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -397,10 +429,15 @@ def label_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
     counts = sample_counts(samples)
     if not counts:
         raise ValueError("the labelled samples hold no language")
-    model = adapted(counts, docs)
+    first, model, halves = adapted(counts, docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, label string, lang string, confidence double, cells array<struct<cell_no: bigint, lang: string, confidence: double, letters: bigint>>"
-    return _source(docs).mapInArrow(_label(model), out)
+    out = f"doc_id {kind}, label string, lang string, confidence double, score double, cells array<struct<cell_no: bigint, lang: string, confidence: double, letters: bigint, score: double>>, told array<struct<lang: int, step: int>>"
+    scored = checkpointed(_source(docs).mapInArrow(_label(model, first, halves), out))
+    level = levels(scored.select(F.inline("told")), model.langs)
+    floor = F.create_map(*[F.lit(x) for item in level.items() for x in item]) if level else F.lit(None).cast("map<string,double>")
+    known = lambda lang, score: F.when(score < F.element_at(floor, lang), UNKNOWN).otherwise(lang)
+    cells = F.transform("cells", lambda c: F.struct(c["cell_no"].alias("cell_no"), known(c["lang"], c["score"]).alias("lang"), c["confidence"].alias("confidence"), c["letters"].alias("letters")))
+    return scored.select("doc_id", "label", known(F.col("lang"), F.col("score")).alias("lang"), "confidence", cells.alias("cells"))
 
 
 def corrections(labelled: DataFrame) -> DataFrame:

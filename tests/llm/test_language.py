@@ -149,3 +149,46 @@ def test_confidence_is_the_share_of_the_language(spark, samples):
     assert len(want) > 50 and sum(got[k][0] == a for k, (a, _) in want.items()) >= 0.97 * len(want)
     off = [abs(got[k][1] - share) for k, (a, share) in want.items() if got[k][0] == a]
     assert sum(off) / len(off) < 0.06
+
+
+def test_tables_of_many_files_are_adapted_as_one(spark, samples, tmp_path):
+    foreign = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text", "cells").dropDuplicates(["doc_id"])
+    docs = spark.createDataFrame([doc(-1, "pl", ("text", foreign), ("text", DE * 2))], CELLS).select(docs.columns).unionByName(docs)
+    got = []
+    for n in (1, 9):
+        docs.repartition(n, "doc_id").write.parquet(path := str(tmp_path / str(n)))
+        rows = lg.label_languages(spark.read.parquet(path), samples).collect()
+        got.append({r.doc_id: (r.lang, [(c.cell_no, c.lang) for c in r.cells]) for r in rows})
+    assert got[0] == got[1] and got[1][-1][1] == [(0, "und"), (1, "de")]
+
+
+def test_model_counts_every_document(spark, samples):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text", "cells")
+    counts = lg.sample_counts(samples)
+    assert docs.count() > 9000
+    first = lg.Model.fit(counts)
+    want = {g: c.copy() for g, c in counts.items()}
+    for b in lg._source(docs).toArrow().to_batches():
+        sent, at, lang, _ = lg._confirmed(first, b)
+        for k, g in enumerate(first.langs):
+            want[g] += lg.count_grams([s for s, j in zip(sent, at, strict=True) if lang[j] == k])
+    _, model, halves = lg.adapted(counts, docs)
+    assert np.array_equal(model.table, lg.Model.fit(want).table)
+    assert not np.array_equal(halves[0].table, halves[1].table)
+
+
+def test_all_labelled_samples_count(spark):
+    many = spark.range(51_000).selectExpr("id AS sample_id", "'en' AS lang", f"'{EN}' AS text").coalesce(1)
+    last = spark.createDataFrame([(-1, "de", DE), (-2, "ja", JA)], many.schema)
+    counts = lg.sample_counts(many.unionByName(last))
+    assert sorted(counts) == ["de", "en", "ja"]
+    assert np.array_equal(counts["en"], 51_000 * lg.count_grams(lg.sentences(EN)))
+
+
+def test_levels_are_quantiles_of_all_scores(spark):
+    rng = np.random.default_rng(3)
+    steps = {0: rng.normal(9000, 2000, 4321).astype(int), 1: rng.integers(-5, 5, 5000), 2: rng.integers(0, 9, lg.LEAST_CELLS - 1)}
+    told = spark.createDataFrame([(k, int(x)) for k, v in steps.items() for x in v], "lang int, step int")
+    got = lg.levels(told, ["de", "en", "fr", "ja"])
+    assert got == pytest.approx({g: np.quantile(steps[k] * lg.STEP, lg.RARE) - lg.MARGIN for k, g in enumerate(["de", "en"])})
